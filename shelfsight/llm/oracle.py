@@ -19,3 +19,65 @@ lists AS (
 """
 ORACLE["p1_lists"] = f"WITH {_NEAR} SELECT vector_id, neighbour, similarity FROM lists"
 ORACLE["p1_found"] = f"WITH {_NEAR} SELECT DISTINCT least(vector_id, neighbour) AS vector_a, greatest(vector_id, neighbour) AS vector_b FROM lists"
+
+ORACLE["p2_found"] = """
+WITH hits AS (SELECT DISTINCT candidate_id, image_id, score FROM search_candidates WHERE score IS NOT NULL AND NOT isnan(score) AND score BETWEEN -1 AND 1),
+img AS (SELECT DISTINCT image_id, upper(trim(sku)) AS sku FROM refs WHERE sku IS NOT NULL)
+SELECT sku, candidate_id FROM hits JOIN img USING (image_id)
+QUALIFY row_number() OVER (PARTITION BY sku ORDER BY score DESC, image_id, candidate_id) <= 5
+"""
+
+_CLEAN = """
+CASE WHEN regexp_full_match(lower(trim(photo_hash)), '[0-9a-f]{64}') THEN lower(trim(photo_hash)) END AS h,
+CASE WHEN regexp_full_match(lower(trim(dhash)), '[0-9a-f]{16}') AND lower(trim(dhash)) <> '0000000000000000' THEN ('0x' || lower(trim(dhash)))::UBIGINT END AS d
+"""
+_GROUP = "CASE WHEN lower(trim(capture_group)) NOT IN ('', 'unknown-session') THEN lower(trim(capture_group)) END AS g"
+_PAIRS = f"""
+e AS (SELECT DISTINCT eval_id, {_CLEAN}, {_GROUP} FROM evaluation),
+f AS (SELECT DISTINCT feedback_id, {_CLEAN}, {_GROUP} FROM feedback_preview WHERE lower(trim(training_status)) = 'exported'),
+pairs AS (
+  SELECT eval_id, feedback_id, coalesce(e.h = f.h, false) AS same_hash, coalesce(bit_count(xor(e.d, f.d)) <= 4, false) AS near_hash, coalesce(e.g = f.g, false) AS same_group
+  FROM e, f WHERE e.h = f.h OR e.g = f.g OR bit_count(xor(e.d, f.d)) <= 4
+)"""
+ORACLE["p3_found"] = f"WITH {_PAIRS} SELECT DISTINCT eval_id, feedback_id FROM pairs"
+ORACLE["p3_kinds"] = f"WITH {_PAIRS} SELECT eval_id, feedback_id, same_hash, near_hash, same_group FROM pairs"
+ORACLE["p3_report"] = f"""
+WITH {_PAIRS},
+r AS (SELECT eval_id, min((coalesce(lower(trim(split)), 'unknown'), coalesce(lower(trim(source)), 'unknown'))) AS s FROM evaluation GROUP BY 1),
+n AS (SELECT eval_id, count(*) AS n FROM pairs GROUP BY 1)
+SELECT s[1] AS split, s[2] AS source, count(*) AS records, count(n) AS overlapping, coalesce(sum(n), 0)::bigint AS pairs FROM r LEFT JOIN n USING (eval_id) GROUP BY 1, 2
+"""
+ORACLE["p3_coverage"] = f"""
+WITH {_PAIRS},
+r AS (SELECT eval_id, (max(h IS NOT NULL::int)::int + max((d IS NOT NULL)::int) + max((g IS NOT NULL)::int))::int AS fields FROM e GROUP BY 1),
+n AS (SELECT eval_id, max(same_hash::int) + max(near_hash::int) + max(same_group::int) AS n FROM pairs GROUP BY 1)
+SELECT eval_id, fields, coalesce(n, 0)::int AS matched, CASE WHEN fields > 0 THEN coalesce(n, 0) / fields END AS coverage FROM r LEFT JOIN n USING (eval_id)
+""".replace("max(h IS NOT NULL::int)::int", "max((h IS NOT NULL)::int)")
+
+ORACLE["p4_found"] = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT eval_id, {_CLEAN}, {_GROUP} FROM evaluation),
+k AS (SELECT eval_id, 'h' || h AS k FROM e WHERE h IS NOT NULL UNION SELECT eval_id, 'g' || g FROM e WHERE g IS NOT NULL),
+edge AS (SELECT DISTINCT a.eval_id AS a, b.eval_id AS b FROM k a JOIN k b USING (k)),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+first AS (SELECT a AS eval_id, min(b) AS first_eval_id FROM reach GROUP BY 1)
+SELECT first_eval_id, eval_id FROM first WHERE first_eval_id <> eval_id
+"""
+
+ORACLE["p5_found"] = f"""
+WITH RECURSIVE one AS (
+  SELECT feedback_id, batch_no, {_CLEAN} FROM feedback_preview QUALIFY row_number() OVER (PARTITION BY feedback_id ORDER BY batch_no) = 1
+),
+known AS (SELECT DISTINCT lower(trim(photo_hash)) AS h FROM refs WHERE regexp_full_match(lower(trim(photo_hash)), '[0-9a-f]{{64}}')),
+o AS (SELECT row_number() OVER (ORDER BY batch_no, feedback_id) AS rn, feedback_id, h, d, h IN (SELECT h FROM known) AS old FROM one),
+go AS (
+  SELECT 0::bigint AS rn, false AS bad, NULL::bigint AS feedback_id, []::varchar[] AS hs, []::ubigint[] AS ds
+  UNION ALL
+  SELECT rn, bad, feedback_id, CASE WHEN bad OR h IS NULL THEN hs ELSE list_append(hs, h) END, CASE WHEN bad OR d IS NULL THEN ds ELSE list_append(ds, d) END
+  FROM (
+    SELECT o.rn, o.feedback_id, o.h, o.d, go.hs, go.ds,
+      coalesce(o.old, false) OR coalesce(list_contains(go.hs, o.h), false) OR coalesce(len(list_filter(go.ds, lambda x: bit_count(xor(x, o.d)) <= 4)) > 0, false) AS bad
+    FROM go JOIN o ON o.rn = go.rn + 1
+  )
+)
+SELECT feedback_id FROM go WHERE bad
+"""

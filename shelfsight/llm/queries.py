@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfsight.llm import neighbours
-from shelfsight.runtime import table
+from shelfsight.llm import history, neighbours, overlap, splits, topn
+from shelfsight.runtime import materialise, table
 
 
 def p1_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +20,50 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(p1_lists(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return topn.top_per_sku(table(spark, d, "search_candidates"), table(spark, d, "refs")).drop("rank")
+
+
+def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "evaluation"), overlap.exported(table(spark, d, "feedback_preview")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_kinds(spark, d).select("eval_id", "feedback_id")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "evaluation"), p3_kinds(spark, d))
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.coverage(table(spark, d, "evaluation"), p3_kinds(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    sets = splits.tied_sets(table(spark, d, "evaluation"))
+    return sets.where("first <> eval_id").select(F.col("first").alias("first_eval_id"), "eval_id")
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "evaluation")
+    labels = records.select("eval_id", F.explode("tags").alias("label"))
+    return splits.stratified_splits(materialise(splits.tied_sets(records), "sets"), labels)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.duplicates_by_batch(table(spark, d, "feedback_preview"), table(spark, d, "refs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_lists": p1_lists,
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_kinds": p3_kinds,
+    "p3_report": p3_report,
+    "p3_coverage": p3_coverage,
+    "p4_found": p4_found,
+    "p4_splits": p4_splits,
+    "p5_found": p5_found,
 }
