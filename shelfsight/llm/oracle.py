@@ -81,3 +81,26 @@ go AS (
 )
 SELECT feedback_id FROM go WHERE bad
 """
+
+ORACLE["p7_found"] = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_passages WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT id, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS p FROM d)),
+ig AS (SELECT DISTINCT id, array_to_string(w[p : p + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS p FROM i))
+SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g)
+"""
+
+_SPANS = """
+w AS (SELECT doc_id, p AS s, substr(text, p + 1, 240) AS x FROM (SELECT doc_id, text, unnest(range(0, length(text) - 239)) AS p FROM documents WHERE length(text) >= 240)),
+c AS (SELECT x FROM w GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT doc_id, s FROM w WHERE x IN (SELECT x FROM c)),
+b AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 240 THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS n FROM b),
+spans AS (SELECT doc_id, min(s)::int AS start_pos, (max(s) + 240)::int AS end_pos FROM g GROUP BY doc_id, n)
+"""
+ORACLE["p8_found"] = f"WITH {_SPANS} SELECT doc_id, start_pos, end_pos FROM spans"
+ORACLE["p8_share"] = f"""
+WITH {_SPANS}, t AS (SELECT doc_id, sum(end_pos - start_pos) AS n FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0)::int AS n_chars, coalesce(n, 0)::bigint AS shared, CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) END AS share
+FROM documents LEFT JOIN t USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import history, neighbours, overlap, splits, topn
+from shelfsight.llm import history, leakage, neighbours, overlap, spans, splits, tokens, topn
 from shelfsight.runtime import materialise, table
 
 
@@ -55,6 +55,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.duplicates_by_batch(table(spark, d, "feedback_preview"), table(spark, d, "refs"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where(F.col("run") >= leakage.RUN).select("doc_id", "item_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p8_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"), p8_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_lists": p1_lists,
@@ -66,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p5_found": p5_found,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_share": p8_share,
 }
