@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions import vectors as V
+from shelfsight.runtime import materialise
 from shelfsight.settings import Settings
 
 #: Query vectors of one block: bounds what is broadcast (about 2 MB of 64 numbers).
@@ -125,7 +126,7 @@ def cap_per_sku(fused: DataFrame, refs: DataFrame, per_sku: int, limit: int) ->
 
 
 def model_scores(pairs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
-    """(query_id, ref_id, model, context, object, score) for each model that both sides have.
+    """(query_id, ref_id, model, context, object, score) for each model of which both sides have the whole image.
 
     context is the cosine of the whole images; object blends it with the
     symmetric best match of the other views by local_weight; score is object
@@ -136,6 +137,7 @@ def model_scores(pairs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame
         F.min(F.when(F.col("view") == "global", F.col("value"))).alias("whole"),
         F.collect_list(F.when(F.col("view") != "global", F.struct("view", "value"))).alias("v"),
     ).select("ref_id", "model", "whole", F.transform(F.array_sort("v"), lambda x: x["value"]).alias("views"))
+    wide = wide.where("whole IS NOT NULL")
     q = wide.select(F.col("ref_id").alias("query_id"), "model", F.col("whole").alias("q"), F.col("views").alias("qv"))
     both = pairs.join(q, "query_id").join(wide, ["ref_id", "model"])
     context = F.round(V.clip(V.dot("q", "whole")), DIGITS)
@@ -231,7 +233,8 @@ def candidates(refs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
 def search(refs: DataFrame, vectors: DataFrame, s: Settings | None = None) -> DataFrame:
     """(query_id, rank, sku, image_id, score, matched_images, evidence, confidence, ambiguous): the ranked skus of each query."""
     s = s or Settings()
-    skus = aggregate_skus(candidates(refs, vectors, s).withColumn("score", F.col("visual_score")))
+    # ranked once and written, as both the verdict and the rows need it
+    skus = materialise(aggregate_skus(candidates(refs, vectors, s).withColumn("score", F.col("visual_score"))), "skus")
     verdict = decide(skus, s).select("query_id", "confidence", "ambiguous")
     kept = skus if s.threshold is None else skus.where(F.col("score") >= s.threshold)
     return kept.where(F.col("rank") <= s.top_k).join(verdict, "query_id").select("query_id", "rank", "sku", "image_id", "score", "matched_images", F.array_join("matched_image_ids", ",").alias("evidence"), "confidence", "ambiguous")

@@ -22,5 +22,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     return keep
 
-
-from shelfsight.plans import catalog_queries, data_queries, evaluation_queries, geometry_queries, search_queries  # noqa: E402, F401

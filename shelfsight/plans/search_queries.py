@@ -117,7 +117,7 @@ m AS (
     CASE WHEN len(a.views) > 0 AND len(b.views) > 0 THEN greatest(-1, least(1, (
       list_avg(list_transform(a.views, lambda x: list_max(list_transform(b.views, lambda y: list_dot_product(x, y))))) +
       list_avg(list_transform(b.views, lambda x: list_max(list_transform(a.views, lambda y: list_dot_product(x, y)))))) / 2)) END AS local
-  FROM c JOIN q USING (query_id) JOIN w a ON a.ref_id = c.query_id JOIN w b ON b.ref_id = c.ref_id AND a.model = b.model),
+  FROM c JOIN q USING (query_id) JOIN w a ON a.ref_id = c.query_id JOIN w b ON b.ref_id = c.ref_id AND a.model = b.model WHERE a.whole IS NOT NULL AND b.whole IS NOT NULL),
 mo AS (SELECT *, round(greatest(-1, least(1, 0.5 * context + 0.5 * coalesce(local, context))), 9) AS object FROM m),
 ms AS (SELECT *, CASE WHEN o <> ro THEN context ELSE object END AS score FROM mo),
 vs AS (
