@@ -63,19 +63,10 @@ def _block_top(shared, k: int):
     return run
 
 
-def vector_top_k(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """(query_id, ref_id, score, rank): the k references of highest inner product for each query.
-
-    ``queries``: query_id bigint, value; ``references``: ref_id bigint, value;
-    unit vectors of one length.  A reference with the query's own id is not
-    found.  Score is clipped, rounded to 9 digits; ties go to the smaller id.
-    The query set is taken in blocks of QUERY_BLOCK, each broadcast; the
-    references are scanned where they lie, and only k rows for each query
-    leave a task.  Empty tables give no row.
-    """
+def block_tops(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """(query_id, ref_id, score): each task's own k best references of each query."""
     spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -85,10 +76,25 @@ def vector_top_k(queries: DataFrame, references: DataFrame, k: int) -> DataFrame
         shared = spark.sparkContext.broadcast((got["query_id"].to_numpy(), _matrix(got["value"].combine_chunks())))
         found = references.select("ref_id", "value").mapInArrow(_block_top(shared, k), "query_id bigint, ref_id bigint, score double")
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, ref_id bigint, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return spark.createDataFrame([], "query_id bigint, ref_id bigint, score double") if out is None else out
+
+
+def _ranked(rows: DataFrame, k: int, *by: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "ref_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def vector_top_k(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
+    """(query_id, ref_id, score, rank): the k references of highest inner product for each query.
+
+    ``queries``: query_id bigint, value; ``references``: ref_id bigint, value;
+    unit vectors of one length.  A reference with the query's own id is not
+    found.  Score is clipped, rounded to 9 digits; ties go to the smaller id.
+    The query set is taken in blocks of QUERY_BLOCK, each broadcast; the
+    references are scanned where they lie, and only k rows for each query
+    leave a task.  Empty tables give no row.
+    """
+    return _ranked(block_tops(queries, references, k), k, "query_id")
 
 
 def shortlists(queries: DataFrame, refs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
@@ -105,11 +111,12 @@ def shortlists(queries: DataFrame, refs: DataFrame, vectors: DataFrame, s: Setti
     for model, weight in s.weights.items():
         stored = whole.where(F.col("model") == model).join(refs.select("ref_id"), "ref_id", "left_semi").select("ref_id", "value")
         own = stored.withColumnRenamed("ref_id", "query_id").join(queries.select("query_id", "is_object"), "query_id")
-        share = F.when(F.col("is_object"), weight * (1 - s.object_index_weight)).otherwise(weight)
-        for name, q, r, w in ((f"{model}:all", own, stored, share), (f"{model}:object", own.where("is_object"), stored.join(objects, "ref_id", "left_semi"), F.lit(weight * s.object_index_weight))):
-            top = vector_top_k(q, r, s.candidates).join(queries.select("query_id", "is_object"), "query_id")
-            lists.append(top.select("query_id", F.lit(name).alias("list"), "ref_id", "score", "rank", w.alias("weight")))
-    return reduce(DataFrame.unionByName, lists)
+        for index, q, r in (("all", own, stored), ("object", own.where("is_object"), stored.join(objects, "ref_id", "left_semi"))):
+            lists.append(block_tops(q, r, s.candidates).select("query_id", F.lit(f"{model}:{index}").alias("list"), "ref_id", "score", F.lit(weight).alias("w"), F.lit(index == "object").alias("objects")))
+    # one exchange for all lists
+    top = _ranked(reduce(DataFrame.unionByName, lists), s.candidates, "query_id", "list").join(queries.select("query_id", "is_object"), "query_id")
+    share = F.when(F.col("objects"), s.object_index_weight).when(F.col("is_object"), 1 - s.object_index_weight).otherwise(1.0)
+    return top.select("query_id", "list", "ref_id", "score", "rank", (F.col("w") * share).alias("weight"))
 
 
 def fuse_ranks(lists: DataFrame, bias: int = 60) -> DataFrame:

@@ -9,7 +9,7 @@ from shelfsight.functions import vectors as V
 from shelfsight.operators import results as R
 from shelfsight.operators import search as S
 from shelfsight.plans.registry import query
-from shelfsight.runtime import table
+from shelfsight.runtime import materialise, table
 from shelfsight.settings import Settings
 
 SETTINGS = Settings()
@@ -39,7 +39,8 @@ _OUT = "SELECT query_id, ref_id, rank::int AS rank, round(score, 6) AS similarit
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return S.clean_refs(table(spark, d, "refs")), S.clean_vectors(table(spark, d, "vectors"))
+    # cleaned once and written, as every list reads them
+    return materialise(S.clean_refs(table(spark, d, "refs")), "refs"), materialise(S.clean_vectors(table(spark, d, "vectors")), "vectors")
 
 
 def _one_list(refs: DataFrame, vectors: DataFrame, k: int, stored: DataFrame | None = None) -> DataFrame:
