@@ -1 +1,127 @@
-"""Queries."""
+"""Queries on boxes, proposals, patches and pixels, derived from the embeddings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfsight.functions import boxes as B
+from shelfsight.functions import images as I
+from shelfsight.functions import vectors as V
+from shelfsight.operators import proposals as P
+from shelfsight.plans.registry import query
+from shelfsight.runtime import table
+
+_N = 4
+
+
+def _sql_boxes() -> str:
+    parts = []
+    for i in range(_N):
+        e = [f"abs(embedding[{4 * i + j + 1}]::double)" for j in range(4)]
+        parts.append(f"SELECT vec_id, {i} AS n, least(0.9, {e[0]}) AS x, least(0.9, {e[1]}) AS y, least(1 - least(0.9, {e[0]}), {e[2]} * 3 + 0.02) AS w, least(1 - least(0.9, {e[1]}), {e[3]} * 3 + 0.02) AS h FROM embeddings")
+    return "b AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _boxes(spark, d):
+    e = table(spark, d, "embeddings")
+
+    def box(i):
+        a = [F.abs(F.col("embedding")[4 * i + j].cast("double")) for j in range(4)]
+        x, y = F.least(F.lit(0.9), a[0]), F.least(F.lit(0.9), a[1])
+        return B.make(x, y, F.least(1 - x, a[2] * 3 + 0.02), F.least(1 - y, a[3] * 3 + 0.02))
+
+    return e.select("vec_id", "label", *(box(i).alias(f"b{i}") for i in range(_N)))
+
+
+_AB = f"WITH {_sql_boxes()}, p AS (SELECT a.vec_id, a.x AS x1, a.y AS y1, a.w AS w1, a.h AS h1, c.x AS x2, c.y AS y2, c.w AS w2, c.h AS h2 FROM b a JOIN b c ON a.vec_id = c.vec_id AND a.n = 0 AND c.n = 1), q AS (SELECT *, greatest(0, least(x1 + w1, x2 + w2) - greatest(x1, x2)) * greatest(0, least(y1 + h1, y2 + h2) - greatest(y1, y2)) AS o FROM p)"
+
+
+@query("box_iou_pairs", f"{_AB} SELECT vec_id, round(o / (w1 * h1 + w2 * h2 - o), 6) AS iou FROM q")
+def box_iou_pairs(spark, d):
+    return _boxes(spark, d).select("vec_id", F.round(B.iou(F.col("b0"), F.col("b1")), 6).alias("iou"))
+
+
+@query("box_containment", f"{_AB} SELECT vec_id, round(o / least(w1 * h1, w2 * h2), 6) AS containment FROM q")
+def box_containment(spark, d):
+    return _boxes(spark, d).select("vec_id", F.round(B.containment(F.col("b0"), F.col("b1")), 6).alias("containment"))
+
+
+@query("proportion_compatibility", f"{_AB} SELECT vec_id, round(greatest(0, 1 - abs(ln((greatest(w1, h1) / least(w1, h1)) / (greatest(w2, h2) / least(w2, h2)))) / ln(4)), 6) AS proportion FROM q")
+def proportion_compatibility(spark, d):
+    return _boxes(spark, d).select("vec_id", F.round(B.proportion(F.col("b0"), F.col("b1")), 6).alias("proportion"))
+
+
+@query("box_quality", f"""WITH {_sql_boxes()}, s AS (SELECT vec_id, n, CASE WHEN w * h <= 0.3 THEN w * h / 0.3 ELSE (1 - w * h) / 0.7 END AS size, greatest(0, 1 - abs(x + w / 2 - 0.5) - abs(y + h / 2 - 0.5)) AS mid, 1 - least(1, abs(ln(greatest(w, h) / least(w, h) / 1.25)) / 2.8) AS aspect FROM b)
+SELECT vec_id, n, round((0.3::double * size + 0.25 * mid + 0.1 * aspect) / 0.65, 6) AS quality FROM s""")
+def box_quality(spark, d):
+    rows = _boxes(spark, d).select("vec_id", F.posexplode(F.array(*(f"b{i}" for i in range(_N)))).alias("n", "b"))
+    return rows.select("vec_id", "n", F.round(B.quality(F.col("b")), 6).alias("quality"))
+
+
+@query("pixel_crop_roundtrip", f"""WITH {_sql_boxes()}, p AS (SELECT vec_id, n, floor(x * 640)::int AS x, floor(y * 480)::int AS y, (least(640, ceil((x + w) * 640)) - floor(x * 640))::int AS w, (least(480, ceil((y + h) * 480)) - floor(y * 480))::int AS h FROM b)
+SELECT vec_id, n, x AS px, y AS py, w AS pw, h AS ph, round(x / 640, 4) AS fx, round(h / 480, 4) AS fh FROM p""")
+def pixel_crop_roundtrip(spark, d):
+    rows = _boxes(spark, d).select("vec_id", F.posexplode(F.array(*(f"b{i}" for i in range(_N)))).alias("n", "b"))
+    size = (F.lit(640), F.lit(480))
+    rows = rows.withColumn("p", B.to_pixels(F.col("b"), *size)).withColumn("f", B.to_fractions(F.col("p"), *size))
+    return rows.select("vec_id", "n", *(F.col(f"p.{c}").alias(n) for c, n in (("x", "px"), ("y", "py"), ("width", "pw"), ("height", "ph"))), F.col("f.x").alias("fx"), F.col("f.height").alias("fh"))
+
+
+def _proposals(spark, d):
+    names = F.array(*(F.lit(x) for x in ("grabcut", "saliency", "color_pop", "contour")))
+    rows = _boxes(spark, d).select(F.col("vec_id").alias("image_id"), F.posexplode(F.array(*(f"b{i}" for i in range(_N)))).alias("n", "b"))
+    return rows.select("image_id", F.element_at(names, F.col("n") + 1).alias("source"), "b.x", "b.y", "b.width", "b.height", F.lit(None).cast("double").alias("score"))
+
+
+@query("proposal_corroboration")
+def proposal_corroboration(spark, d):
+    return P.ranked(_proposals(spark, d)).select("image_id", "source", "rank_score")
+
+
+@query("proposal_nms")
+def proposal_nms(spark, d):
+    return P.suppressed(_proposals(spark, d))
+
+
+@query("attach_merge")
+def attach_merge(spark, d):
+    return P.merged(_proposals(spark, d))
+
+
+@query("proposal_choice")
+def proposal_choice(spark, d):
+    return P.chosen(_proposals(spark, d), _boxes(spark, d).select(F.col("vec_id").alias("image_id")))
+
+
+_PATCH = "WITH p AS (SELECT vec_id, label, list_transform(range(8), lambda i: list_transform(embedding[i * 8 + 1 : i * 8 + 8], lambda x: x::double)) AS m FROM embeddings), j AS (SELECT a.vec_id, a.m AS a, b.m AS b FROM p a JOIN p b ON b.vec_id = a.vec_id + 1), d AS (SELECT vec_id, list_transform(a, lambda x: list_max(list_transform(b, lambda y: list_dot_product(x, y)))) AS f, list_transform(b, lambda x: list_max(list_transform(a, lambda y: list_dot_product(x, y)))) AS g FROM j)"
+
+
+def _patches(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8)).alias("m"))
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("m").alias("o")), "vec_id")
+
+
+@query("patch_similarity", f"{_PATCH} SELECT vec_id, round(greatest(-1, least(1, (list_avg(f) + list_avg(g)) / 2)), 6) AS mean, round(greatest(-1, least(1, (list_avg(list_reverse_sort(f)[1:3]) + list_avg(list_reverse_sort(g)[1:3])) / 2)), 6) AS top_k, round(greatest(-1, least(1, (list_median(f) + list_median(g)) / 2)), 6) AS median, round(greatest(-1, least(1, (list_avg(list_sort(f)[3:6]) + list_avg(list_sort(g)[3:6])) / 2)), 6) AS trimmed FROM d".replace("list_median(f)", "list_aggregate(f, 'median')").replace("list_median(g)", "list_aggregate(g, 'median')"))
+def patch_similarity(spark, d):
+    s = lambda how, **k: F.round(V.patch_similarity("m", "o", how, **k), 6)
+    return _patches(spark, d).select("vec_id", s("mean").alias("mean"), s("top_k_mean", top_k=3).alias("top_k"), s("median").alias("median"), s("trimmed_mean", trim=0.25).alias("trimmed"))
+
+
+@query("array_even_sample", "SELECT vec_id, round(list_sum(list_transform(range(5), lambda i: embedding[(i * 63) // 4 + 1]::double)), 6) AS total FROM embeddings")
+def array_even_sample(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.total(F.transform(V.even_sample("embedding", 5), lambda x: x.cast("double"))), 6).alias("total"))
+
+
+@query("label_centroid_similarity", """WITH u AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::double AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM u GROUP BY 1, 2)
+SELECT vec_id, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 6) AS similarity FROM u JOIN c USING (label, i) GROUP BY 1""")
+def label_centroid_similarity(spark, d):
+    e = table(spark, d, "embeddings")
+    c = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    c = c.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
+    return e.join(c, "label").select("vec_id", F.round(V.cosine("embedding", "centre"), 6).alias("similarity"))
+
+
+@query("image_metrics")
+def image_metrics(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") + 1) * 127.5).alias("pixels"), F.lit(8).alias("width"))
+    return I.image_metrics(e, "vec_id", "pixels", "width")
