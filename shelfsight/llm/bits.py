@@ -1,34 +1,14 @@
-"""Pairs of 64-bit codes within a small Hamming distance, by shared pieces.
-
-A code is cut into six pieces.  Two codes that differ in at most four bits are
-equal in at least two pieces, so they share one of the fifteen keys made of
-two pieces each; the keys have about 21 bits, and what shares a key is
-compared exactly.
-"""
+"""Distinct 64-bit codes by the piece keys that close codes share."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.functions.bits import DISTANCE, distance, pieces_keys
 from shelfsight.llm.readings import dhash_bits
 
-DISTANCE = 4
-WIDTHS = (11, 11, 11, 11, 10, 10)
-
-
-def pieces_keys(code: Column) -> Column:
-    """The fifteen keys of a 64-bit code, as array<bigint>."""
-    pieces, at = [], 0
-    for w in WIDTHS:
-        pieces.append(F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << w) - 1)))
-        at += w
-    keys = []
-    for n, (a, b) in enumerate(combinations(range(len(WIDTHS)), 2)):
-        keys.append((pieces[a] + pieces[b] * F.lit(1 << 11) + F.lit(n << 22)).cast("bigint"))
-    return F.array(*keys)
+__all__ = ["close", "dhash_bits", "keyed", "pieces_keys"]
 
 
 def keyed(codes: DataFrame, code: str, name: str) -> DataFrame:
@@ -37,5 +17,5 @@ def keyed(codes: DataFrame, code: str, name: str) -> DataFrame:
     return bits.select(F.explode(pieces_keys(F.col(name))).alias("key"), name)
 
 
-def close(a: str, b: str, distance: int = DISTANCE) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def close(a: str, b: str, most: int = DISTANCE) -> Column:
+    return distance(a, b) <= most

@@ -61,18 +61,20 @@ class Items:
         self.grams = [np.searchsorted(self.keys, k) for k in keys]
 
     def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """gram -> [(item, position)]: of every window of ``run`` words the n-gram that the fewest documents have.
+        """gram -> [(item, position)]: of every window of ``run`` words the n-gram that the fewest documents have, but one at least.
 
-        A run of that many common words holds a whole window, hence its seed,
-        so no such run is missed.
+        A run of that many common words holds a whole window, of which all
+        n-grams occur, hence its seed; so no such run is missed.  Windows that
+        no document has whole give seeds for edited copies.
         """
         out: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for item, grams in enumerate(self.grams):
-            rarity = [(frequency.get(int(g), 0), int(g)) for g in grams]
+            rarity = [(frequency.get(int(g), 1 << 62), int(g)) for g in grams]
             width = self.run - GRAM + 1
             for lo in range(len(grams) - width + 1):
                 at = min(range(lo, lo + width), key=rarity.__getitem__)
-                out[int(grams[at])].add((item, at))
+                if int(grams[at]) in frequency:
+                    out[int(grams[at])].add((item, at))
         return {g: sorted(x) for g, x in out.items()}
 
 

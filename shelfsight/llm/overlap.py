@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.llm import bits
 from shelfsight.llm.readings import clean_dhash, clean_group, clean_hash
+from shelfsight.runtime import materialise
 
 #: Words of a shard, of the patterns and of the texts: bounds an automaton and a text in memory.
 SHARD_PATTERNS = 20_000
@@ -81,7 +82,7 @@ def overlaps(held_out: DataFrame, training: DataFrame, left: str = "eval_id", ri
     """
     about = (held_out.count(), training.count())
     a, b = normalised(held_out, left), normalised(training, right)
-    found = matched_words(a, b, about)
+    found = materialise(matched_words(a, b, about), "words")
     kind, rest = F.substring("word", 1, 1).alias("kind"), F.expr("substring(word, 2)")
     found = found.select(kind, rest.alias("rest"))
     hashes = found.where("kind = 'h'").select(F.col("rest").alias("hash"))
