@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed pattern of the name of a published version.
-GENERATION = r"\Ageneration-[0-9a-f]{32}\z"
+GENERATION = "generation-[0-9a-f]{32}"
 
 
 def fingerprint(*columns: str) -> Column:

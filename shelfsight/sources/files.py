@@ -6,6 +6,7 @@ import csv
 import hashlib
 import json
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -129,13 +130,11 @@ class VersionedTable:
 
     def current(self) -> str | None:
         """Name of the current version; None without a pointer or with a malformed one."""
-        import re
-
         try:
             name = (self.root / "CURRENT").read_text().strip()
         except FileNotFoundError:
             return None
-        return name if re.match(GENERATION, name) and (self.root / name).is_dir() else None
+        return name if re.fullmatch(GENERATION, name) and (self.root / name).is_dir() else None
 
     def _check(self, name: str) -> dict:
         """The manifest of a version, held against its files."""
