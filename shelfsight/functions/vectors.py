@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,23 @@ def is_valid(a: Column | str) -> Column:
     return F.coalesce((F.size(a) > 0) & ~wrong & F.exists(a, lambda x: x != 0), F.lit(False))
 
 
+def _unit_batch(a: pa.Array) -> pa.Array:
+    n = np.nan_to_num(a.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+    x = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null elements become NaN
+    ok = n > 0
+    if len(x):
+        starts = (np.cumsum(n) - n)[ok]
+        square = np.add.reduceat(x * x, starts)
+        good = np.isfinite(square) & (square > 0)
+        ok[ok] = good
+        x = (x / np.repeat(np.sqrt(np.where(good, square, 1.0)), n[n > 0]))[np.repeat(ok, n)]
+    offsets = np.concatenate([[0], np.cumsum(np.where(ok, n, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x, pa.float64()), mask=pa.array(~ok))
+
+
 def normalize(a: Column | str) -> Column:
-    """Unit vector as array<double>; null where the vector is not valid."""
-    a = _col(a)
-    return F.when(is_valid(a), F.transform(a, lambda x: x.cast("double") / norm(a)))
+    """Unit vector as array<double>, Arrow-batched; null where the vector is not valid."""
+    return F.arrow_udf(_unit_batch, "array<double>")(_col(a).cast("array<double>"))
 
 
 def clip(x: Column) -> Column:
@@ -91,12 +106,74 @@ def aggregate(values: Column, how: str, top_k: int = 8, trim: float = 0.1) -> Co
     raise ValueError(f"unknown aggregation {how}")
 
 
+def _matrices(c: pa.ListArray) -> list[np.ndarray | None]:
+    """A matrix for each row of a list of lists of one length; None for null, empty and ragged ones."""
+    inner = c.values
+    values = inner.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    outer, at, null = c.offsets.to_numpy(), inner.offsets.to_numpy(), c.is_null().to_numpy(zero_copy_only=False)
+    out: list[np.ndarray | None] = []
+    for i in range(len(c)):
+        edges = at[outer[i] : outer[i + 1] + 1]
+        width = np.diff(edges)
+        ok = not null[i] and len(width) and (width == width[0]).all() and width[0]
+        out.append(values[edges[0] : edges[-1]].reshape(len(width), -1) if ok else None)
+    return out
+
+
+def _collapse(values: np.ndarray, how: str, k: int, trim: float) -> float:
+    ascending = np.sort(values)
+    if how == "median":
+        return float(np.median(ascending))
+    if how == "trimmed_mean":
+        cut = int(trim * len(values))
+        ascending = ascending[cut : len(values) - cut]
+    elif how == "top_k_mean":
+        ascending = ascending[-k:]
+    return float(ascending.mean())
+
+
+def _best_match(how: str, top_k: int, trim: float, least: int):
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out: list[float | None] = []
+        for x, y in zip(_matrices(a), _matrices(b), strict=True):
+            if x is None or y is None or min(len(x), len(y)) < least or x.shape[1] != y.shape[1]:
+                out.append(None)
+                continue
+            s, k = x @ y.T, min(top_k, len(x), len(y))
+            out.append(min(1.0, max(-1.0, (_collapse(s.max(1), how, k, trim) + _collapse(s.max(0), how, k, trim)) / 2)))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
 def patch_similarity(a: Column | str, b: Column | str, how: str = "mean", top_k: int = 8, trim: float = 0.1) -> Column:
-    """Symmetric similarity of two patch matrices; null with fewer than four patches on a side."""
-    a, b = _col(a), _col(b)
-    k = F.least(F.size(a), F.size(b))
-    one = lambda x, y: aggregate(best_matches(x, y), how, top_k, trim) if how != "top_k_mean" else mean(F.slice(F.sort_array(best_matches(x, y), asc=False), F.lit(1), F.least(F.lit(top_k), k)))
-    return F.when((F.size(a) >= 4) & (F.size(b) >= 4), clip((one(a, b) + one(b, a)) / 2))
+    """Symmetric similarity of two patch matrices, Arrow-batched; null with fewer than four patches on a side."""
+    if how not in ("mean", "median", "trimmed_mean", "top_k_mean"):
+        raise ValueError(f"unknown aggregation {how}")
+    kind = "array<array<double>>"
+    return _best_match(how, top_k, trim, 4)(_col(a).cast(kind), _col(b).cast(kind))
+
+
+def view_similarity(a: Column | str, b: Column | str) -> Column:
+    """symmetric_best() of two sets of views, Arrow-batched; null if a set is empty."""
+    kind = "array<array<double>>"
+    return _best_match("mean", 1, 0.0, 1)(_col(a).cast(kind), _col(b).cast(kind))
+
+
+def _dot_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    n = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64) for x in (a, b)]
+    at = np.flatnonzero((n[0] == n[1]) & (n[0] > 0))  # null lengths are NaN
+    out = np.full(len(a), np.nan)
+    if len(at):
+        x, y = (c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False) for c in (a, b))
+        starts = np.concatenate([[0], np.cumsum(n[0][at])[:-1]]).astype(np.int64)
+        out[at] = np.add.reduceat(x * y, starts)
+    return pa.array(out, mask=np.isnan(out))
+
+
+def dots(a: Column | str, b: Column | str) -> Column:
+    """dot() of many rows, Arrow-batched: array lambdas are interpreted, so this is the faster one on long vectors."""
+    return F.arrow_udf(_dot_batch, "double")(_col(a).cast("array<double>"), _col(b).cast("array<double>"))
 
 
 def masked(patches: Column | str, mask: Column | str) -> Column:

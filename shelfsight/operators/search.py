@@ -8,7 +8,6 @@ products.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,9 @@ def clean_refs(refs: DataFrame) -> DataFrame:
 
 def clean_vectors(vectors: DataFrame) -> DataFrame:
     """(ref_id, model, view, value array<double> of unit length): the valid vectors, of repeated ones the smallest id."""
-    valid = vectors.where((F.size("value") == F.col("dimension")) & V.is_valid("value"))
-    rows = valid.select("vector_id", "ref_id", F.lower(F.trim("embedding_type")).alias("model"), F.lower(F.trim("crop_type")).alias("view"), "value")
+    rows = vectors.where(F.size("value") == F.col("dimension")).select("vector_id", "ref_id", F.lower(F.trim("embedding_type")).alias("model"), F.lower(F.trim("crop_type")).alias("view"), V.normalize("value").alias("value")).where("value IS NOT NULL")
     first = rows.groupBy("ref_id", "model", "view").agg(F.min_by("value", "vector_id").alias("value"))
-    return first.select("ref_id", "model", "view", V.normalize("value").alias("value"))
+    return first.select("ref_id", "model", "view", "value")
 
 
 def _matrix(c: pa.ListArray) -> np.ndarray:
@@ -44,44 +42,62 @@ def _matrix(c: pa.ListArray) -> np.ndarray:
 
 def _block_top(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        ids = score = None
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            if not len(b):
-                continue
-            new = b.column(0).to_numpy()
-            s = np.round(np.clip(q @ _matrix(b.column(1)).T, -1, 1), DIGITS)
-            s[names[:, None] == new[None]] = -np.inf  # a query does not find itself
-            ids = np.broadcast_to(new, s.shape) if ids is None else np.concatenate([ids, np.broadcast_to(new, s.shape)], axis=1)
-            score = s if score is None else np.concatenate([score, s], axis=1)
-            best = np.lexsort((ids, -score), axis=1)[:, :k]
-            ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
-        if ids is not None:
-            keep = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, keep.sum(1))), pa.array(ids[keep]), pa.array(score[keep])], names=["query_id", "ref_id", "score"])
+            rows: dict[str, list[int]] = {}
+            for i, names in enumerate(b.column(1).to_pylist()):
+                for n in names:
+                    rows.setdefault(n, []).append(i)
+            for n in rows.keys() & shared.value.keys():
+                names, q = shared.value[n]
+                part = b.take(pa.array(rows[n]))
+                new = part.column(0).to_numpy()
+                s = np.round(np.clip(q @ _matrix(part.column(2)).T, -1, 1), DIGITS)
+                s[names[:, None] == new[None]] = -np.inf  # a query does not find itself
+                ids = np.broadcast_to(new, s.shape)
+                if s.shape[1] > 4 * k:  # only what is not below the k-th best needs a full sort
+                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].min()
+                    keep = (s >= edge).any(0)
+                    s, ids = s[:, keep], ids[:, keep]
+                if n in best:
+                    ids, s = np.concatenate([best[n][0], ids], axis=1), np.concatenate([best[n][1], s], axis=1)
+                first = np.lexsort((ids, -s), axis=1)[:, :k]
+                best[n] = np.take_along_axis(ids, first, 1), np.take_along_axis(s, first, 1)
+        for n, (ids, s) in best.items():
+            keep = np.isfinite(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shared.value[n][0], keep.sum(1))), pa.array([n] * int(keep.sum()), pa.string()), pa.array(ids[keep]), pa.array(s[keep])], names=["query_id", "list", "ref_id", "score"])
 
     return run
 
 
-def block_tops(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """(query_id, ref_id, score): each task's own k best references of each query."""
+def list_tops(queries: DataFrame, references: DataFrame, k: int, about: int) -> DataFrame:
+    """(query_id, list, ref_id, score, rank): the k best references of each query in each list.
+
+    ``queries``: query_id bigint, list string, value; ``references``: ref_id
+    bigint, lists array<string>, value.  The vectors of a list have one length
+    and unit norm.  All lists go in one scan of the references and one
+    exchange.  ``about`` is the number of query rows; they are taken in blocks
+    of QUERY_BLOCK, each broadcast, and only k rows for each query and list
+    leave a task.
+    """
     spark = queries.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
+    blocks, out = max(1, -(-about // QUERY_BLOCK)), None
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        got = part.select("query_id", "value").toArrow()
+        got = part.select("list", "query_id", "value").toArrow()
         if not len(got):
             continue
-        shared = spark.sparkContext.broadcast((got["query_id"].to_numpy(), _matrix(got["value"].combine_chunks())))
-        found = references.select("ref_id", "value").mapInArrow(_block_top(shared, k), "query_id bigint, ref_id bigint, score double")
+        names, sides = np.array(got["list"].to_pylist(), object), {}
+        for n in sorted(set(names)):
+            own = got.take(pa.array(np.flatnonzero(names == n)))
+            sides[n] = own["query_id"].to_numpy(), _matrix(own["value"].combine_chunks())
+        shared = spark.sparkContext.broadcast(sides)
+        found = references.select("ref_id", "lists", "value").mapInArrow(_block_top(shared, k), "query_id bigint, list string, ref_id bigint, score double")
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], "query_id bigint, ref_id bigint, score double") if out is None else out
-
-
-def _ranked(rows: DataFrame, k: int, *by: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "ref_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    if out is None:
+        out = spark.createDataFrame([], "query_id bigint, list string, ref_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "ref_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def vector_top_k(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
@@ -90,11 +106,10 @@ def vector_top_k(queries: DataFrame, references: DataFrame, k: int) -> DataFrame
     ``queries``: query_id bigint, value; ``references``: ref_id bigint, value;
     unit vectors of one length.  A reference with the query's own id is not
     found.  Score is clipped, rounded to 9 digits; ties go to the smaller id.
-    The query set is taken in blocks of QUERY_BLOCK, each broadcast; the
-    references are scanned where they lie, and only k rows for each query
-    leave a task.  Empty tables give no row.
+    Empty tables give no row.
     """
-    return _ranked(block_tops(queries, references, k), k, "query_id")
+    one = F.lit("all")
+    return list_tops(queries.select("query_id", one.alias("list"), "value"), references.select("ref_id", F.array(one).alias("lists"), "value"), k, queries.count()).drop("list")
 
 
 def shortlists(queries: DataFrame, refs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame:
@@ -105,18 +120,18 @@ def shortlists(queries: DataFrame, refs: DataFrame, vectors: DataFrame, s: Setti
     and the model's weight is shared out by object_index_weight.  The query's
     vectors are those of the reference of its id.
     """
-    whole = vectors.where("view = 'global'")
-    objects = refs.where("representation = 'object'").select("ref_id")
-    lists = []
-    for model, weight in s.weights.items():
-        stored = whole.where(F.col("model") == model).join(refs.select("ref_id"), "ref_id", "left_semi").select("ref_id", "value")
-        own = stored.withColumnRenamed("ref_id", "query_id").join(queries.select("query_id", "is_object"), "query_id")
-        for index, q, r in (("all", own, stored), ("object", own.where("is_object"), stored.join(objects, "ref_id", "left_semi"))):
-            lists.append(block_tops(q, r, s.candidates).select("query_id", F.lit(f"{model}:{index}").alias("list"), "ref_id", "score", F.lit(weight).alias("w"), F.lit(index == "object").alias("objects")))
-    # one exchange for all lists
-    top = _ranked(reduce(DataFrame.unionByName, lists), s.candidates, "query_id", "list").join(queries.select("query_id", "is_object"), "query_id")
-    share = F.when(F.col("objects"), s.object_index_weight).when(F.col("is_object"), 1 - s.object_index_weight).otherwise(1.0)
-    return top.select("query_id", "list", "ref_id", "score", "rank", (F.col("w") * share).alias("weight"))
+    is_object = F.coalesce(F.col("representation") == "object", F.lit(False))
+    stored = vectors.where("view = 'global'").where(F.col("model").isin(*s.weights)).join(refs.select("ref_id", is_object.alias("object")), "ref_id")
+    names = lambda flag: F.transform(F.when(flag, F.array(F.lit("all"), F.lit("object"))).otherwise(F.array(F.lit("all"))), lambda x: F.concat("model", F.lit(":"), x))
+    stored = stored.select("ref_id", names(F.col("object")).alias("lists"), "model", "value")
+    own = stored.drop("lists").withColumnRenamed("ref_id", "query_id").join(queries.select("query_id", F.coalesce("is_object", F.lit(False)).alias("is_object")), "query_id")
+    own = own.select("query_id", F.explode(names(F.col("is_object"))).alias("list"), "value")
+    top = list_tops(own, stored, s.candidates, queries.count() * 2 * len(s.weights)).join(queries.select("query_id", "is_object"), "query_id")
+    share = F.when(F.col("list").endswith(":object"), s.object_index_weight).when(F.col("is_object"), 1 - s.object_index_weight).otherwise(1.0)
+    weight = F.lit(None).cast("double")
+    for model, w in s.weights.items():
+        weight = F.when(F.col("list").startswith(f"{model}:"), w).otherwise(weight)
+    return top.select("query_id", "list", "ref_id", "score", "rank", (weight * share).alias("weight"))
 
 
 def fuse_ranks(lists: DataFrame, bias: int = 60) -> DataFrame:
@@ -147,8 +162,8 @@ def model_scores(pairs: DataFrame, vectors: DataFrame, s: Settings) -> DataFrame
     wide = wide.where("whole IS NOT NULL")
     q = wide.select(F.col("ref_id").alias("query_id"), "model", F.col("whole").alias("q"), F.col("views").alias("qv"))
     both = pairs.join(q, "query_id").join(wide, ["ref_id", "model"])
-    context = F.round(V.clip(V.dot("q", "whole")), DIGITS)
-    local = V.symmetric_best("qv", "views")
+    context = F.round(V.clip(V.dots("q", "whole")), DIGITS)
+    local = V.view_similarity("qv", "views")
     w = s.local_weight
     # without views on a side there is no local match, and the whole image decides
     blend = F.coalesce(V.clip((1 - w) * F.col("context") + w * local), F.col("context")) if w > 0 else F.col("context")

@@ -82,7 +82,7 @@ FROM (SELECT vector_id, list_transform(value, lambda x: x::double) AS w, coalesc
 """)
 def vector_normalize(spark, d):
     unit = V.normalize("value")
-    return table(spark, d, "vectors").select("vector_id", F.when(V.is_valid("value"), F.round(V.norm("value"), 4)).alias("norm"), V.is_valid("value").alias("valid"), F.round(V.dot(unit, unit), 6).alias("unit"))
+    return table(spark, d, "vectors").select("vector_id", F.when(V.is_valid("value"), F.round(V.norm("value"), 4)).alias("norm"), V.is_valid("value").alias("valid"), F.round(V.dots(unit, unit), 6).alias("unit"))
 
 
 @query("padded_cosine", f"""WITH {REFS}, {VECTORS}, b AS (SELECT a.ref_id, a.value AS x, list_resize(list_slice(b.value, 1, len(a.value)), len(a.value), 0.0) AS y FROM v a JOIN v b USING (ref_id, view) WHERE a.model = 'siglip' AND b.model = 'dino' AND view = 'global')
