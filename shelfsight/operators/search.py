@@ -198,12 +198,13 @@ def aggregate_skus(rows: DataFrame) -> DataFrame:
     """(query_id, sku, score, image_id, family, matched_images, matched_image_ids, rank).
 
     ``rows``: query_id, sku, image_id, family, score.  A sku's score is that
-    of its best reference, ties to the smaller image_id; the ids come best
-    first; skus rank by score, ties to the smaller sku.  Null scores are left
+    of its best reference, ties to the smaller image_id, null ids last; the
+    ids come best first; skus rank by score, ties to the smaller sku.  Null scores are left
     out.
     """
-    best = F.min(F.struct((-F.col("score")).alias("s"), "image_id", "family")).alias("best")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "image_id"))), lambda x: x["image_id"])
+    order = [(-F.col("score")).alias("s"), F.col("image_id").isNull().alias("no_id"), "image_id"]
+    best = F.min(F.struct(*order, F.col("family").isNull().alias("no_family"), "family")).alias("best")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["image_id"])
     rows = rows.where("score IS NOT NULL").groupBy("query_id", "sku").agg(best, F.count("*").alias("matched_images"), ids.alias("matched_image_ids"))
     rows = rows.select("query_id", "sku", (-F.col("best.s")).alias("score"), "best.image_id", "best.family", "matched_images", "matched_image_ids")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "sku")))

@@ -127,7 +127,7 @@ vs AS (
   FROM ms WHERE model IN ('siglip', 'dino') GROUP BY 1, 2)"""
 _SKUS = """
 sk AS (
-  SELECT query_id, sku, max(score) AS score, arg_min(image_id, (-score, image_id)) AS image_id, arg_min(family, (-score, image_id)) AS family, count(*) AS matched_images, string_agg(image_id, ',' ORDER BY score DESC, image_id) AS evidence
+  SELECT query_id, sku, max(score) AS score, (list({'i': image_id} ORDER BY score DESC, image_id NULLS LAST))[1].i AS image_id, (list({'f': family} ORDER BY score DESC, image_id NULLS LAST, family NULLS LAST))[1].f AS family, count(*) AS matched_images, string_agg(image_id, ',' ORDER BY score DESC, image_id) AS evidence
   FROM rows WHERE score IS NOT NULL GROUP BY 1, 2),
 skr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sku) AS rank FROM sk)"""
 
