@@ -41,6 +41,15 @@ def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, shared out over all cores if its files give fewer tasks than there are cores.
+
+    For scans whose rows take much work: a file of one row group is one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def guard(spark: SparkSession) -> None:
     """Turn off that a union passes on the partitioning of its inputs.
 
