@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.runtime import spread
+
 WORDS = re.compile(r"[^\W_]+")  # maximal runs of the categories L and N
 RUN = 12
 GRAM = 4
@@ -181,7 +183,7 @@ def leaks(documents: DataFrame, passages: DataFrame, least: float = 0.5, run: in
     and no text is shuffled.
     """
     context = documents.sparkSession.sparkContext
-    texts = documents.select("doc_id", "text")
+    texts = spread(documents.select("doc_id", "text"))
     items = passages.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     shards, out = max(1, -(-items.count() // SHARD_ITEMS)), None
     for s in range(shards):

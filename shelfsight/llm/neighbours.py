@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.runtime import materialise
+from shelfsight.runtime import materialise, spread
 
 ROWS_PER_LIST = 1024
 MAX_LISTS = 16384
@@ -276,7 +276,7 @@ def nearest_lists(rows: DataFrame, k: int = 5, least: float = 0.9, probes: int =
     spark = rows.sparkSession
     rows = rows.select("vector_id", "grp", "value").where(F.col("vector_id").isNotNull() & F.col("grp").isNotNull() & finite_and_nonzero(F.col("value")))
     fitted = spark.sparkContext.broadcast(fit_lists(rows, rows.count() if about is None else about))
-    placed = rows.mapInArrow(_assign(fitted, k + 1, probes), "grp string, list int, tile int, block int, home boolean, ids array<bigint>, value binary")
+    placed = spread(rows).mapInArrow(_assign(fitted, k + 1, probes), "grp string, list int, tile int, block int, home boolean, ids array<bigint>, value binary")
     found = materialise(placed.groupBy("grp", "list", "tile").applyInArrow(_compare(k, least), "vector_id bigint, near array<struct<s:int,id:bigint>>, deputy bigint"), "near")
     # the k best of each vector, over the lists that it shares with others
     best = (

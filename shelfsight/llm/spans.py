@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.runtime import materialise
+from shelfsight.runtime import materialise, spread
 
 SPAN = 240
 SEED = 120
@@ -149,7 +149,7 @@ def shared_spans(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> Da
     gives no row, extra columns do not matter.
     """
     long = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.length("text").alias("n"))
-    pieces = materialise(long.select("doc_id", "text", "text_key").mapInArrow(_seed_rows(span, seed), "piece bigint, text_key bigint, doc_id bigint, pos int"), "pieces")
+    pieces = materialise(spread(long.select("doc_id", "text", "text_key")).mapInArrow(_seed_rows(span, seed), "piece bigint, text_key bigint, doc_id bigint, pos int"), "pieces")
     copies = materialise(long.groupBy("text_key", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "copies")
     several = pieces.groupBy("piece").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").select("piece")
     places = pieces.join(several, "piece", "left_semi").join(copies.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfsight.runtime import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value of the public vocabulary: how texts are split before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -159,4 +161,4 @@ def encode_texts(df: DataFrame, record: str = "doc_id", text: str = "text", voca
     with open(vocabulary, "rb") as f:
         rank_file = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[record].dataType.simpleString()
-    return df.select(record, F.col(text)).mapInArrow(_encode(rank_file), f"`{record}` {kind}, ids array<int>")
+    return spread(df.select(record, F.col(text))).mapInArrow(_encode(rank_file), f"`{record}` {kind}, ids array<int>")
