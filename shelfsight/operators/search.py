@@ -180,6 +180,11 @@ def visual_scores(scored: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumn("visual_score", F.round(V.clip(V.weighted_mean([(F.col(f"{m}_score"), w) for m, w in s.weights.items()])), DIGITS))
 
 
+def blended(score: Column, detail: Column, weight: float) -> Column:
+    """A model's score mixed with a detail score (patches, tips); without one the score stays."""
+    return score if weight == 0 else F.when(detail.isNull(), score).otherwise(V.clip((1 - weight) * score + weight * detail))
+
+
 def secondary_score(text: Column, attributes: Column, description_weight: float) -> Column:
     """Weighted mean of text and attribute evidence over what is present; null if nothing is."""
     return V.weighted_mean([(text, description_weight), (attributes, 1 - description_weight)])
@@ -261,3 +266,18 @@ def search(refs: DataFrame, vectors: DataFrame, s: Settings | None = None) -> Da
     verdict = decide(skus, s).select("query_id", "confidence", "ambiguous")
     kept = skus if s.threshold is None else skus.where(F.col("score") >= s.threshold)
     return kept.where(F.col("rank") <= s.top_k).join(verdict, "query_id").select("query_id", "rank", "sku", "image_id", "score", "matched_images", F.array_join("matched_image_ids", ",").alias("evidence"), "confidence", "ambiguous")
+
+
+def scenarios(refs: DataFrame, vectors: DataFrame, variants: dict[str, Settings], references_per_sku: dict[str, int] | None = None) -> DataFrame:
+    """search() under several settings, with a ``scenario`` column; a scenario may use a few references per sku only."""
+    out = None
+    for name, s in variants.items():
+        n = (references_per_sku or {}).get(name)
+        place = F.row_number().over(Window.partitionBy("sku").orderBy("image_id", "ref_id"))
+        # the queries stay, whatever is left of the references
+        some = refs if n is None else refs.withColumn("_n", place).where((F.col("_n") <= n) | (F.col("ref_id") % 50 == 0)).drop("_n")
+        rows = search(some, vectors, s).withColumn("scenario", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no scenario")
+    return out
