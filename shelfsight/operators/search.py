@@ -20,6 +20,8 @@ from shelfsight.settings import Settings
 
 #: Query vectors of one block: bounds what is broadcast (about 2 MB of 64 numbers).
 QUERY_BLOCK = 4096
+#: References that are compared with a block at a time: bounds the matrix of scores.
+ROW_CHUNK = 1024
 DIGITS = 9
 
 
@@ -40,32 +42,53 @@ def _matrix(c: pa.ListArray) -> np.ndarray:
     return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
 
 
+class _Best:
+    """The k best references of each query of one list, fed with chunks; ties go to the smaller id."""
+
+    def __init__(self, names: np.ndarray, q: np.ndarray, k: int):
+        self.names, self.q, self.k = names, q, k
+        self.least = np.full(len(names), -np.inf)  # a query's k-th best so far
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        s = np.round(np.clip(self.q @ m.T, -1, 1), DIGITS)
+        s[self.names[:, None] == ids[None]] = -np.inf  # a query does not find itself
+        if not self.parts and s.shape[1] > self.k:
+            self.least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+        i, j = np.nonzero((s >= self.least[:, None]) & (s > -np.inf))
+        self.parts.append((i, ids[j], s[i, j]))
+        self.pending += len(i)
+        if self.pending > 4 * self.k * len(self.names) + 100_000:
+            self.settle()
+
+    def settle(self) -> None:
+        i, ids, s = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -s, i))
+        i, ids, s = i[order], ids[order], s[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        first = place < self.k
+        self.least[i[place == self.k - 1]] = s[place == self.k - 1]
+        self.parts, self.pending = [(i[first], ids[first], s[first])], 0
+
+
 def _block_top(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        best = {n: _Best(names, q, k) for n, (names, q) in shared.value.items()}
         for b in batches:
             rows: dict[str, list[int]] = {}
             for i, names in enumerate(b.column(1).to_pylist()):
                 for n in names:
                     rows.setdefault(n, []).append(i)
-            for n in rows.keys() & shared.value.keys():
-                names, q = shared.value[n]
-                part = b.take(pa.array(rows[n]))
-                new = part.column(0).to_numpy()
-                s = np.round(np.clip(q @ _matrix(part.column(2)).T, -1, 1), DIGITS)
-                s[names[:, None] == new[None]] = -np.inf  # a query does not find itself
-                ids = np.broadcast_to(new, s.shape)
-                if s.shape[1] > 4 * k:  # only what is not below the k-th best needs a full sort
-                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k].min()
-                    keep = (s >= edge).any(0)
-                    s, ids = s[:, keep], ids[:, keep]
-                if n in best:
-                    ids, s = np.concatenate([best[n][0], ids], axis=1), np.concatenate([best[n][1], s], axis=1)
-                first = np.lexsort((ids, -s), axis=1)[:, :k]
-                best[n] = np.take_along_axis(ids, first, 1), np.take_along_axis(s, first, 1)
-        for n, (ids, s) in best.items():
-            keep = np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shared.value[n][0], keep.sum(1))), pa.array([n] * int(keep.sum()), pa.string()), pa.array(ids[keep]), pa.array(s[keep])], names=["query_id", "list", "ref_id", "score"])
+            for n in rows.keys() & best.keys():
+                for lo in range(0, len(rows[n]), ROW_CHUNK):
+                    part = b.take(pa.array(rows[n][lo : lo + ROW_CHUNK]))
+                    best[n].add(part.column(0).to_numpy(), _matrix(part.column(2)))
+        for n, top in best.items():
+            if top.parts:
+                top.settle()
+                i, ids, s = top.parts[0]
+                yield pa.RecordBatch.from_arrays([pa.array(top.names[i]), pa.array([n] * len(i), pa.string()), pa.array(ids), pa.array(s)], names=["query_id", "list", "ref_id", "score"])
 
     return run
 
