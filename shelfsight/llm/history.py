@@ -22,8 +22,9 @@ from shelfsight.runtime import materialise, scratch_path
 class History:
     """Bucketed hash tables and the batches checked against them."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 16):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark = spark
+        self.buckets = buckets or min(64, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         self.name = f"history_{uuid.uuid4().hex}"
         self.path = scratch_path(spark, "history")
         self.filled: set[str] = set()
@@ -63,8 +64,10 @@ class History:
         copies = rows.join(nodes.select("ord"), "ord", "left_anti").select(f"ord.{record}")
         keys = materialise(nodes.where("code IS NOT NULL").select("code").distinct().select(F.explode(bits.pieces_keys(F.col("code"))).alias("key"), "code"), "keys")
         old = self._table("paragraph", "key bigint, code bigint").withColumnRenamed("code", "other")
+        # bucket-local: only the delivery's side is shuffled
         near_old = keys.join(old, "key").where(bits.close("code", "other")).select("code").distinct().withColumn("near_old", F.lit(True))
-        same_old = self._table("content", "hash string").distinct().withColumn("same_old", F.lit(True))
+        hashes = nodes.where("hash IS NOT NULL").select("hash").distinct()
+        same_old = hashes.join(self._table("content", "hash string"), "hash", "left_semi").withColumn("same_old", F.lit(True))
         other = keys.withColumnRenamed("code", "other")
         edges = materialise(keys.join(other, "key").where((F.col("code") != F.col("other")) & bits.close("code", "other")).select("code", "other").distinct(), "edges")
         nodes = nodes.join(same_old, "hash", "left").join(near_old, "code", "left")

@@ -115,7 +115,7 @@ def fit_lists(rows: DataFrame, n: int) -> dict[str, tuple[np.ndarray, np.ndarray
     return out
 
 
-def _assign(fitted, keep: int, probes: int):
+def _assign(fitted, keep: int, probes: int, groups: int):
     """Rows of (grp, list, tile, block, ids, value); a surplus copy gives (null value, [id, its deputy])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def _assign(fitted, keep: int, probes: int):
                         for y in range(parts):
                             tile = min(block, y) * parts + max(block, y)
                             rows.append((x, tile, block, p == 0 and y == block, names[i], values[i]))
-                rows += [(-1 - x % 64, 0, 0, True, [x, deputy], None) for x, deputy in spare]
+                rows += [(-1 - x % groups, 0, 0, True, [x, deputy], None) for x, deputy in spare]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([g] * len(rows)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())],
@@ -275,8 +275,11 @@ def nearest_lists(rows: DataFrame, k: int = 5, least: float = 0.9, probes: int =
     """
     spark = rows.sparkSession
     rows = rows.select("vector_id", "grp", "value").where(F.col("vector_id").isNotNull() & F.col("grp").isNotNull() & finite_and_nonzero(F.col("value")))
-    fitted = spark.sparkContext.broadcast(fit_lists(rows, rows.count() if about is None else about))
-    placed = spread(rows).mapInArrow(_assign(fitted, k + 1, probes), "grp string, list int, tile int, block int, home boolean, ids array<bigint>, value binary")
+    about = rows.count() if about is None else about
+    fitted = spark.sparkContext.broadcast(fit_lists(rows, about))
+    # surplus copies pass through in groups of some thousand
+    groups = max(64, about // ROWS_PER_LIST)
+    placed = spread(rows).mapInArrow(_assign(fitted, k + 1, probes, groups), "grp string, list int, tile int, block int, home boolean, ids array<bigint>, value binary")
     found = materialise(placed.groupBy("grp", "list", "tile").applyInArrow(_compare(k, least), "vector_id bigint, near array<struct<s:int,id:bigint>>, deputy bigint"), "near")
     # the k best of each vector, over the lists that it shares with others
     best = (
