@@ -179,8 +179,8 @@ def leaks(documents: DataFrame, passages: DataFrame, least: float = 0.5, run: in
     rows give their pairs once; extra columns do not matter.
 
     Items go in shards of SHARD_ITEMS, each broadcast; the documents are
-    scanned where they lie, first to count the n-grams, then for the seeds,
-    and no text is shuffled.
+    scanned twice, first to count the n-grams, then for the seeds, and are
+    moved only where their files give fewer tasks than there are cores.
     """
     context = documents.sparkSession.sparkContext
     texts = spread(documents.select("doc_id", "text"))
