@@ -1,15 +1,16 @@
 """Evaluation texts leaking into training text.
 
-The rarest word n-gram of every window of the held-out items is a seed;
-documents are joined to items by the seeds, and each candidate pair is scored
-by a Smith-Waterman alignment of the words around its seeds, which also gives
-the longest run of consecutive equal words.
+Documents are joined to the held-out items by all word bigrams of an item.  A
+pair whose document holds, within the words that an alignment can span, fewer
+of the item's bigrams than any alignment of the asked score must hold is left
+out; every other pair is scored by a Smith-Waterman alignment.  The longest
+run of consecutive equal words follows from the bigrams themselves.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,12 @@ from shelfsight.runtime import spread
 
 WORDS = re.compile(r"[^\W_]+")  # maximal runs of the categories L and N
 RUN = 12
-GRAM = 4
+#: Words of an n-gram by which documents are joined to items, where the scores asked for allow it; else single words.
+GRAM = 2
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, 2
-#: Words around the item's length that an alignment looks at.
-SLACK = 16
+#: Hits that are looked at together.
+HITS = 1 << 20
 #: Items of one shard: bounds what is broadcast.
 SHARD_ITEMS = 20_000
 
@@ -47,10 +49,24 @@ def _gram_keys(ids: np.ndarray, n: int = GRAM) -> np.ndarray:
     return np.where(known, np.maximum(key, 1), 0).astype(np.uint64)
 
 
+def needed(length: int, least: float, gram: int) -> int:
+    """n-grams of an item of ``length`` words that a text must hold for a score of ``least``.
+
+    An alignment of m matches, a mismatches, b inserted words and c words left
+    out scores 2m - a - 2b - 2c >= 2 * least * length with m + a + c <= length,
+    so m >= least * length.  It has at most 1 + a + b + c runs of matches,
+    hence at least m - 1 - a - b - c bigrams, which is least at
+    m = length * (1 + 2 * least) / 3 with mismatches only.
+    """
+    if gram == 1:
+        return max(1, math.ceil(least * length - 1e-9))
+    return math.ceil(length * (4 * least - 1) / 3 - 1 - 1e-9)
+
+
 class Items:
     """Held-out items as word ids, with the places of their n-grams."""
 
-    def __init__(self, rows: list[tuple[int, str]], run: int = RUN):
+    def __init__(self, rows: list[tuple[int, str]], least: float, run: int = RUN):
         self.run, self.names, self.words = run, [], []
         self.vocabulary: dict[str, int] = {}
         for name, text in sorted(rows):
@@ -58,26 +74,34 @@ class Items:
             if len(words) >= run:
                 self.names.append(name)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        keys = [_gram_keys(w) for w in self.words]
-        self.keys = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
-        self.grams = [np.searchsorted(self.keys, k) for k in keys]
-
-    def seeds(self, frequency: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """gram -> [(item, position)]: of every window of ``run`` words the n-gram that the fewest documents have, but one at least.
-
-        A run of that many common words holds a whole window, of which all
-        n-grams occur, hence its seed; so no such run is missed.  Windows that
-        no document has whole give seeds for edited copies.
-        """
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for item, grams in enumerate(self.grams):
-            rarity = [(frequency.get(int(g), 1 << 62), int(g)) for g in grams]
-            width = self.run - GRAM + 1
-            for lo in range(len(grams) - width + 1):
-                at = min(range(lo, lo + width), key=rarity.__getitem__)
-                if int(grams[at]) in frequency:
-                    out[int(grams[at])].add((item, at))
-        return {g: sorted(x) for g, x in out.items()}
+        lengths = [len(w) for w in self.words]
+        self.gram = GRAM if run >= GRAM and all(needed(n, least, GRAM) >= 1 for n in lengths) else 1
+        self.need = np.array([needed(n, least, self.gram) for n in lengths], np.int64)
+        #: Words of a text that an alignment of the asked score can span: one for each of the item's and those put in.
+        self.span = np.array([n + max(0, int((1 - least) * n)) + 1 for n in lengths], np.int64)
+        keys = [_gram_keys(w, self.gram) for w in self.words]
+        every = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.keys, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+        self.place = np.concatenate([np.arange(len(k)) for k in keys])[order] if keys else order
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, n-gram) of the n-grams of items in a text."""
+        own = _gram_keys(ids, self.gram)
+        at = np.flatnonzero(own)
+        if not len(at) or not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        own = own[at]
+        place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        ok = self.keys[place] == own
+        return at[ok], place[ok]
+
+    def places(self, at: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, item, place in the item), one for each place of each hit."""
+        n = self.count[grams]
+        row = np.repeat(self.first[grams] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), self.item[row], self.place[row]
 
 
 def _texts(b: pa.RecordBatch, vocabulary: dict[str, int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,34 +111,6 @@ def _texts(b: pa.RecordBatch, vocabulary: dict[str, int]) -> Iterator[tuple[int,
             yield name, np.fromiter((get(w, 0) for w in words_of(text)), np.int64)
 
 
-def _hits(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, gram) of the known n-grams."""
-    own = _gram_keys(ids)
-    at = np.flatnonzero(own)
-    if not len(at) or not len(keys):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    own = own[at]
-    place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    ok = keys[place] == own
-    return at[ok], place[ok]
-
-
-def _count(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, n = shared.value, None
-        for b in batches:
-            for _, ids in _texts(b, items.vocabulary):
-                grams = np.unique(_hits(ids, items.keys)[1])
-                if len(grams):
-                    n = np.zeros(len(items.keys), np.int64) if n is None else n
-                    n[grams] += 1
-        if n is not None:
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["gram", "n"])
-
-    return run
-
-
 def align(item: np.ndarray, text: np.ndarray) -> int:
     """Best Smith-Waterman score of two arrays of word ids (0 equals nothing)."""
     above, best = np.zeros(len(text) + 1, np.int64), 0
@@ -129,37 +125,70 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def longest_run(item: np.ndarray, text: np.ndarray, shift: int) -> int:
-    """Longest run of equal words where text[i + shift] stands beside item[i]."""
-    lo, hi = max(0, -shift), min(len(item), len(text) - shift)
-    differ = np.flatnonzero(item[lo:hi] != text[lo + shift : hi + shift])
-    edges = np.concatenate([[-1], differ, [hi - lo]])
-    return int(np.diff(edges).max()) - 1 if hi > lo else 0
+def longest_run(at: np.ndarray, place: np.ndarray, gram: int) -> int:
+    """Longest run of equal words, from all n-grams (at text[at] and item[place]) of a pair."""
+    order = np.lexsort((at, at - place))
+    at, shift = at[order], (at - place)[order]
+    ends = np.flatnonzero(np.append((np.diff(shift) != 0) | (np.diff(at) != 1), True))
+    return int(np.diff(ends, prepend=-1).max()) + gram - 1
+
+
+def _stretches(at: np.ndarray, need: int, span: int, length: int) -> list[tuple[int, int]]:
+    """Disjoint parts of a text that hold every alignment of ``span`` words with ``need`` n-grams (in order, at ``at``)."""
+    out: list[tuple[int, int]] = []
+    many = np.searchsorted(at, at + span) - np.arange(len(at)) >= need
+    for x in at[many].tolist():
+        lo, hi = max(0, x - span), min(length, x + span)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _pairs(texts: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(text, item, positions, places) of the pairs that have n-grams enough for the run or the score."""
+    own = [items.hits(ids) for ids in texts]
+    at, item, place = items.places(np.concatenate([x for x, _ in own]), np.concatenate([g for _, g in own]))
+    if not len(at):
+        return
+    text = np.repeat(np.arange(len(texts)), [int(items.count[g].sum()) for _, g in own])
+    pair = text * len(items.names) + item
+    order = np.argsort(pair, kind="stable")  # positions stay in order
+    pair, at, item, place = pair[order], at[order], item[order], place[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    end = np.append(first[1:], len(pair))
+    enough = end - first >= np.minimum(items.need[item[first]], items.run - items.gram + 1)
+    for lo, hi in zip(first[enough].tolist(), end[enough].tolist(), strict=True):
+        yield int(pair[lo]) // len(items.names), int(item[lo]), at[lo:hi], place[lo:hi]
 
 
 def _score(shared, least: float):
+    def scored(names: list[int], texts: list[np.ndarray], items: Items) -> Iterator[tuple[int, int, int, float]]:
+        for t, item, at, place in _pairs(texts, items):
+            own, ids = items.words[item], texts[t]
+            longest = longest_run(at, place, items.gram)
+            parts = [(0, len(ids))] if longest >= items.run else _stretches(at, int(items.need[item]), int(items.span[item]), len(ids))
+            share = max((align(own, ids[lo:hi]) for lo, hi in parts), default=0) / (MATCH * len(own))
+            if longest >= items.run or share >= least:
+                yield names[t], items.names[item], longest, share
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds = shared.value
-        grams = np.array(sorted(seeds), np.int64)
-        keys = items.keys[grams] if len(grams) else np.empty(0, np.uint64)
+        items = shared.value
         for b in batches:
             rows: list[tuple[int, int, int, float]] = []
+            names: list[int] = []
+            texts: list[np.ndarray] = []
+            hits = 0
             for name, ids in _texts(b, items.vocabulary):
-                shifts: dict[int, set[int]] = defaultdict(set)
-                for at, g in zip(*(x.tolist() for x in _hits(ids, keys)), strict=True):
-                    for item, place in seeds[int(grams[g])]:
-                        shifts[item].add(at - place)
-                for item, some in shifts.items():
-                    own, done = items.words[item], set()
-                    score, longest = 0, 0
-                    for s in sorted(some):
-                        longest = max(longest, longest_run(own, ids, s))
-                        if not any(abs(s - x) <= SLACK for x in done):  # its stretch was aligned
-                            done.add(s)
-                            score = max(score, align(own, ids[max(0, s - 2 * SLACK) : max(0, s + len(own) + 2 * SLACK)]))
-                    share = score / (MATCH * len(own))
-                    if longest >= items.run or share >= least:
-                        rows.append((name, items.names[item], longest, share))
+                names.append(name)
+                texts.append(ids)
+                hits += int(items.count[items.hits(ids)[1]].sum())
+                if hits >= HITS:
+                    rows += scored(names, texts, items)
+                    names, texts, hits = [], [], 0
+            if texts:
+                rows += scored(names, texts, items)
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.float64())], names=["doc_id", "item_id", "run", "score"])
@@ -171,25 +200,23 @@ def leaks(documents: DataFrame, passages: DataFrame, least: float = 0.5, run: in
     """(doc_id, item_id, run, score): documents that hold items, whole, in part or edited.
 
     ``documents``: doc_id bigint, text; ``passages``: item_id bigint, text.
-    run is the longest common run of consecutive words beside a seed, score
-    the alignment's share of the item's best.  A pair is returned if its run
-    is ``run`` words or more (all such pairs are found), or its score is
-    ``least`` or more (those that share a seed).  Null or empty texts and
-    items of fewer than ``run`` words give nothing, as do null ids; repeated
-    rows give their pairs once; extra columns do not matter.
+    run is the longest common run of consecutive words of a pair, score the
+    best alignment's share of the item's best.  All pairs are returned whose
+    run is ``run`` words or more, or whose score is ``least`` or more
+    (``least`` above 0).  Null or empty texts and items of fewer than ``run``
+    words give nothing, as do null ids; repeated rows give their pairs once;
+    extra columns do not matter.
 
     Items go in shards of SHARD_ITEMS, each broadcast; the documents are
-    scanned twice, first to count the n-grams, then for the seeds, and are
-    moved only where their files give fewer tasks than there are cores.
+    scanned once for each, and are moved only where their files give fewer
+    tasks than there are cores.
     """
     context = documents.sparkSession.sparkContext
     texts = spread(documents.select("doc_id", "text"))
     items = passages.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     shards, out = max(1, -(-items.count() // SHARD_ITEMS)), None
     for s in range(shards):
-        shard = Items([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).collect()], run)
-        counts = texts.mapInArrow(_count(context.broadcast(shard)), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds = shard.seeds({r["gram"]: r["n"] for r in counts.collect()})
-        found = texts.mapInArrow(_score(context.broadcast((shard, seeds)), least), "doc_id bigint, item_id bigint, run int, score double")
+        shard = Items([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).collect()], least, run)
+        found = texts.mapInArrow(_score(context.broadcast(shard), least), "doc_id bigint, item_id bigint, run int, score double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("score").alias("score"))

@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("shelfsight.llm")
@@ -119,6 +121,34 @@ def test_edited_copies_score(spark):
     assert (row["doc_id"], row["item_id"]) == (1, 7) and row["run"] < 12 and 0.6 < row["score"] < 1
 
 
+def test_edited_copies_score_beside_whole_ones(spark):
+    rng = random.Random(6)
+    item = [f"word{i}" for i in range(24)]
+    whole = " ".join(item)
+    edited = " ".join(w for i, w in enumerate(item) if i % 8 != 7)
+    other = " ".join("changed" if i % 4 == 3 else w for i, w in enumerate(item))  # no four words in a row are left
+    noise = " ".join(f"word{rng.randrange(24)}" for _ in range(200))
+    rows = [(1, whole), (2, edited), (3, "before " * 40 + other + " after" * 40), (4, noise), (5, " ".join(item[:8]))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    p = spark.createDataFrame([(7, whole)], "item_id bigint, text string")
+    found = {r["doc_id"]: (r["run"], r["score"]) for r in leakage.leaks(d, p).collect()}
+    assert set(found) == {1, 2, 3} and found[1] == (24, 1.0) and found[2][0] == 7 and found[3][0] == 3
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(7)
+    for least in (0.2, 0.4, 0.5, 0.8):  # the first by single words
+        rows = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(12, 30)))) for i in range(8)]
+        items = leakage.Items(rows, least)
+        edit = lambda w: rng.choice([[], [w], [w], [w], [w, "x"], [f"w{rng.randrange(12)}"]])
+        docs = [["x"] * rng.randrange(50) + [y for w in rng.choice(rows)[1].split() for y in edit(w)] for _ in range(40)]
+        texts = [np.array([items.vocabulary.get(w, 0) for w in doc], np.int64) for doc in docs]
+        expected = {(t, i) for t, ids in enumerate(texts) for i, own in enumerate(items.words) if leakage.align(own, ids) >= 2 * least * len(own)}
+        batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([" ".join(doc) for doc in docs])], names=["doc_id", "text"])
+        got = [r for b in leakage._score(SimpleNamespace(value=items), least)(iter([batch])) for r in b.to_pylist()]
+        assert {(r["doc_id"], r["item_id"]) for r in got if r["score"] >= least} == expected
+
+
 def test_alignment_by_plain_dynamic_programming():
     rng = random.Random(5)
     for _ in range(30):
