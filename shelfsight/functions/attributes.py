@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfsight.functions.text import TEXT_LIMIT
-
 # Fixed values that results depend on: the patterns of the keys, in their order, and the words of the normal forms.
 _NUMBER = r"\d+(?:[.,]\d+)?"
 PATTERNS = (
@@ -80,10 +78,13 @@ def register(rule: Rule, rules: list[Rule] = RULES) -> None:
     rules.append(rule)
 
 
-def parse(text: Column | str, rules: list[Rule] | None = None) -> Column:
-    """array<struct<key, value, raw, rule>> of all matches, rule by rule; empty for null."""
-    text = F.col(text) if isinstance(text, str) else text
-    text = F.substring(F.coalesce(text, F.lit("")), 1, TEXT_LIMIT)
+def parse(text: Column | str, rules: list[Rule] | None = None, limit: int | None = None) -> Column:
+    """array<struct<key, value, raw, rule>> of all matches, rule by rule; empty for null.
+
+    The whole text is read, or its first ``limit`` characters.
+    """
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    text = text if limit is None else F.substring(text, 1, limit)
 
     def records(r: Rule) -> Column:
         found = F.regexp_extract_all(text, F.lit(f"(?iU){r.pattern}"), F.lit(0))
@@ -92,10 +93,10 @@ def parse(text: Column | str, rules: list[Rule] | None = None) -> Column:
     return F.flatten(F.array(*(records(r) for r in (RULES if rules is None else rules))))
 
 
-def values(text: Column | str, rules: list[Rule] | None = None) -> Column:
+def values(text: Column | str, rules: list[Rule] | None = None, limit: int | None = None) -> Column:
     """map<key, sorted distinct values> of the keys that were found."""
     rules = RULES if rules is None else rules
-    found = parse(text, rules)
+    found = parse(text, rules, limit)
 
     def of(k: str) -> Column:
         own = F.transform(F.filter(found, lambda x: x["key"] == k), lambda x: x["value"])

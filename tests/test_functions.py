@@ -79,6 +79,16 @@ def test_attributes(spark, text, expected):
     assert one(spark, A.values(F.lit(text).cast("string"))) == expected
 
 
+def test_colors_behind_the_first_4000_characters(spark, tmp_path):
+    from shelfsight.plans.everything import QUERIES
+
+    text = "red " + "x" * 4000 + " merah and blue"
+    spark.createDataFrame([(1, text), (2, "Blue"), (3, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["color"], r["n"], r["documents"]) for r in QUERIES["attribute_colors_of_documents"](spark, str(tmp_path)).collect()}
+    assert got == {("RED", 1, 1), ("MERAH", 1, 1), ("BLUE", 2, 2)}
+    assert one(spark, A.values(F.lit(text), limit=4000)) == {"color": ["RED"]}
+
+
 def test_dimension_with_unit_and_measurement(spark):
     got = one(spark, A.values(F.lit("Lunch Box 19*11*6.5cm")))
     assert got["dimension"] == ["19X11X6.5CM"] and got["measurement"] == ["6.5CM"]
