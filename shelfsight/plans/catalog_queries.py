@@ -146,6 +146,14 @@ def attribute_jaccard_compat(spark, d):
     return a.join(b, "product_id").select("product_id", F.round(A.compatibility("a", "b"), 6).alias("compatibility")).where("compatibility IS NOT NULL")
 
 
+# attribute_jaccard_compat is the part that SQL can follow; this is the whole.
+@query("attribute_compatibility")
+def attribute_compatibility(spark, d):
+    raw = table(spark, d, "products")
+    a, b = (df.select("product_id", A.values("description").alias(n)) for df, n in ((C.latest_products(raw), "a"), (C.earliest_products(raw), "b")))
+    return a.join(b, "product_id").select("product_id", F.round(A.compatibility("a", "b"), 6).alias("compatibility")).where("compatibility IS NOT NULL")
+
+
 @query("drive_family_compat", "SELECT * FROM (VALUES ('PH1','PH2',0.5::double),('PH2','PH2',1.0),('PHILLIPS','FLAT',0.0),('PH2','PHILLIPS',0.5),('PZ1','PZ3',0.5),('TORX','PZ1',0.0),('PLUS','PHILLIPS',0.0)) t(a, b, score)")
 def drive_family_compat(spark, d):
     rows = spark.createDataFrame([("PH1", "PH2"), ("PH2", "PH2"), ("PHILLIPS", "FLAT"), ("PH2", "PHILLIPS"), ("PZ1", "PZ3"), ("TORX", "PZ1"), ("PLUS", "PHILLIPS")], "a string, b string")

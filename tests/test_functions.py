@@ -1,6 +1,8 @@
 """Functions against hand-computed values."""
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -106,6 +108,48 @@ def test_compatibility(spark):
     assert one(spark, A.compatibility(a, A.values(F.lit("nothing")))) is None
 
 
+def brute_normal(key, found):
+    plain = re.sub(r"\s+", "", found.upper()).replace(",", ".")
+    if key == "drive":
+        return "PHILLIPS" if plain in ("PLUS", "PHILLIPS", "PHILIPS", "CROSS", "KEMBANG") else "FLAT" if plain in ("MINUS", "FLAT", "FLATHEAD", "SLOTTED") else plain
+    if key == "dimension":
+        plain = plain.replace("×", "X").replace("*", "X")
+    return re.sub("['’]$", '"', plain) if key in ("dimension", "measurement") else {"PANJANG": "LONG", "PENDEK": "SHORT"}.get(plain, plain)
+
+
+def brute_values(text):
+    found = [(key, brute_normal(key, m.group(0))) for key, pattern in A.PATTERNS for m in re.finditer(pattern, text or "", re.IGNORECASE)]
+    return {key: {v for k, v in found if k == key} for key, _ in found}
+
+
+def brute_compatibility(a, b):
+    family = lambda v: v[:2]
+    score = lambda k: 0.5 if k == "drive" and not a[k] & b[k] and {family(v) for v in a[k]} & {family(v) for v in b[k]} else len(a[k] & b[k]) / len(a[k] | b[k])
+    keys = a.keys() & b.keys()
+    return round(sum(score(k) for k in keys) / len(keys), 6) if keys else None
+
+
+def versions(spark, folder):
+    """Products with all keys, each in two versions."""
+    rng = random.Random(8)
+    words = ["PH1", "ph2", "Phillips", "plus", "minus", "flat", "PZ1", "PZ2", "torx", "JC403-4", "JC404", "10 mm", "10MM", '1,5"', "6x150mm", "6 * 150 mm", "panjang", "LONG", "size 40", "2 pcs", "3pcs", "merah", "red", "-"]
+    rows = [(i, day, " , ".join(rng.sample(words, rng.randrange(7)))) for i in range(200) for day in (1, 2)]
+    rows += [(300, 1, "model JC404"), (300, 2, "JC404"), (301, 1, "PH1"), (301, 2, "PH2"), (302, 1, None), (302, 2, "10 MM"), (303, 1, "10mm"), (303, 2, "10 MM")]
+    df = spark.createDataFrame(rows, "product_id bigint, day int, description string")
+    df.selectExpr("product_id", "'S' AS sku", "description", "make_timestamp(2024, 1, day, 0, 0, 0) AS updated_at").write.parquet(f"{folder}/products.parquet")
+    return {(i, day): brute_values(text) for i, day, text in rows}
+
+
+def test_compatibility_over_all_keys_by_brute_force(spark, tmp_path):
+    from shelfsight.plans.everything import QUERIES
+
+    found = versions(spark, tmp_path)
+    expected = {i: brute_compatibility(found[i, 2], found[i, 1]) for i, _ in found}
+    got = {r["product_id"]: r["compatibility"] for r in QUERIES["attribute_compatibility"](spark, str(tmp_path)).collect()}
+    assert got == {i: s for i, s in expected.items() if s is not None}
+    assert (got[300], got[301], got[303]) == (1.0, 0.5, 1.0) and 302 not in got
+
+
 def test_rules_can_be_added():
     rules = list(A.RULES)
     A.register(A.Rule("weight-1", "weight", r"\b\d+\s*KG\b"), rules)
