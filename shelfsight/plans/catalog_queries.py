@@ -126,6 +126,19 @@ def attribute_distinct(spark, d):
     return rows.groupBy("key").agg(F.count_distinct("product_id").alias("products"), F.count_distinct("value").alias("distinct_values"))
 
 
+# attribute_parse and attribute_distinct leave out the key that RE2 cannot express; these two have all keys.
+@query("attribute_parse_all")
+def attribute_parse_all(spark, d):
+    rows = _products(spark, d).select("product_id", F.explode(A.parse("description")).alias("a"))
+    return rows.groupBy("product_id", F.col("a.key").alias("key"), F.col("a.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("attribute_distinct_all")
+def attribute_distinct_all(spark, d):
+    rows = C.attribute_rows(_products(spark, d), "product_id", "description")
+    return rows.groupBy("key").agg(F.count_distinct("product_id").alias("products"), F.count_distinct("value").alias("distinct_values"))
+
+
 @query("attribute_colors_of_documents", f"WITH t AS (SELECT doc_id AS id, substr(coalesce(text, ''), 1, 4000) AS t FROM documents) SELECT upper(c) AS color, count(*) AS n, count(DISTINCT id) AS documents FROM (SELECT id, unnest(regexp_extract_all(t, '(?i){dict(A.PATTERNS)['color']}')) AS c FROM t) GROUP BY 1")
 def attribute_colors_of_documents(spark, d):
     rule = [r for r in A.RULES if r.key == "color"]

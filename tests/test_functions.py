@@ -150,6 +150,18 @@ def test_compatibility_over_all_keys_by_brute_force(spark, tmp_path):
     assert (got[300], got[301], got[303]) == (1.0, 0.5, 1.0) and 302 not in got
 
 
+def test_counts_of_all_keys_by_brute_force(spark, tmp_path):
+    from shelfsight.plans.everything import QUERIES
+
+    latest = {i: found for (i, day), found in versions(spark, tmp_path).items() if day == 2}
+    expected = {k: (sum(k in found for found in latest.values()), len(set().union(*(found.get(k, ()) for found in latest.values())))) for k, _ in A.PATTERNS}
+    got = {r["key"]: (r["products"], r["distinct_values"]) for r in QUERIES["attribute_distinct_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: n for k, n in expected.items() if n[0]} and "measurement" in got
+    rows = QUERIES["attribute_parse_all"](spark, str(tmp_path)).collect()
+    assert {(r["product_id"], r["key"], r["value"]) for r in rows} == {(i, k, v) for i, found in latest.items() for k, vs in found.items() for v in vs}
+    assert [r["n"] for r in rows if (r["product_id"], r["value"]) == (303, "10MM")] == [1]
+
+
 def test_rules_can_be_added():
     rules = list(A.RULES)
     A.register(A.Rule("weight-1", "weight", r"\b\d+\s*KG\b"), rules)
