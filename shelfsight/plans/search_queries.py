@@ -75,6 +75,51 @@ def vector_threshold_limit(spark, d):
     return _similar(_one_list(*_sides(spark, d), 12).where("score >= 0.72"))
 
 
+def _top_by_model(k: int, where: str = "true", more: str = "") -> str:
+    return f"""
+p AS (
+  SELECT a.model, a.ref_id AS query_id, b.ref_id, round(greatest(-1, least(1, list_dot_product(a.value, b.value))), 9) AS score
+  FROM s a JOIN q ON a.ref_id = q.query_id JOIN s b ON a.model = b.model AND a.ref_id <> b.ref_id WHERE {where}),
+t AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, ref_id) AS rank FROM p {more} QUALIFY rank <= {k})"""
+
+
+_OUT_BY_MODEL = "SELECT model, query_id, ref_id, rank::int AS rank, round(score, 6) AS similarity FROM t"
+
+
+def _list_per_model(refs: DataFrame, vectors: DataFrame, k: int, stored: DataFrame | None = None) -> DataFrame:
+    # _one_list() over all models in one scan
+    whole = vectors.where("view = 'global'").join(refs.select("ref_id"), "ref_id", "left_semi").select("ref_id", F.col("model").alias("list"), "value")
+    own = whole.withColumnRenamed("ref_id", "query_id").join(S.query_set(refs), "query_id", "left_semi")
+    held = whole if stored is None else whole.join(stored.select("ref_id"), "ref_id", "left_semi")
+    return S.list_tops(own, held.select("ref_id", F.array("list").alias("lists"), "value"), k, own.count())
+
+
+def _similar_by_model(df: DataFrame) -> DataFrame:
+    return df.select(F.col("list").alias("model"), "query_id", "ref_id", "rank", F.round("score", 6).alias("similarity"))
+
+
+@query("vector_topk_cosine_by_model", f"WITH {REFS}, {VECTORS}, {_top_by_model(10)} {_OUT_BY_MODEL}")
+def vector_topk_cosine_by_model(spark, d):
+    return _similar_by_model(_list_per_model(*_sides(spark, d), 10))
+
+
+@query("vector_topk_prefilter_category_by_model", f"WITH {REFS}, {VECTORS}, {_top_by_model(10, "b.category = 'lighting'")} {_OUT_BY_MODEL}")
+def vector_topk_prefilter_category_by_model(spark, d):
+    refs, vectors = _sides(spark, d)
+    return _similar_by_model(_list_per_model(refs, vectors, 10, refs.where("category = 'lighting'")))
+
+
+@query("vector_topk_objects_by_model", f"WITH {REFS}, {VECTORS}, {_top_by_model(10, "b.representation = 'object'")} {_OUT_BY_MODEL}")
+def vector_topk_objects_by_model(spark, d):
+    refs, vectors = _sides(spark, d)
+    return _similar_by_model(_list_per_model(refs, vectors, 10, refs.where("representation = 'object'")))
+
+
+@query("vector_threshold_limit_by_model", f"WITH {REFS}, {VECTORS}, {_top_by_model(12, more='WHERE score >= 0.72')} {_OUT_BY_MODEL}")
+def vector_threshold_limit_by_model(spark, d):
+    return _similar_by_model(_list_per_model(*_sides(spark, d), 12).where("score >= 0.72"))
+
+
 @query("vector_normalize", """
 SELECT vector_id, CASE WHEN ok THEN round(sqrt(list_dot_product(w, w)), 4) END AS norm, ok AS valid,
   CASE WHEN ok THEN round(list_dot_product(list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))), 6) END AS unit

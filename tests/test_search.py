@@ -65,3 +65,16 @@ def test_query_equals_sql(spark, name):
     mine = sorted((tuple(tidy(r[c]) for c in columns) for r in df.collect()), key=str)
     other = db.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
     assert mine == sorted((tuple(tidy(x) for x in r) for r in other), key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["vector_topk_cosine", "vector_topk_prefilter_category", "vector_topk_objects", "vector_threshold_limit"])
+def test_lists_of_all_models(spark, name, monkeypatch):
+    from shelfsight.plans.everything import QUERIES
+
+    monkeypatch.setattr(sys.modules[__name__], "DATA", DATA.replace("sf0.001", "sf0.01"))  # the smallest has no query
+    test_query_equals_sql(spark, f"{name}_by_model")
+    rows = QUERIES[f"{name}_by_model"](spark, DATA).collect()
+    assert {r["model"] for r in rows} == {"dino", "siglip"}
+    tidy = lambda rows: {(r["query_id"], r["ref_id"], r["rank"], r["similarity"]) for r in rows}
+    assert tidy(r for r in rows if r["model"] == "dino") == tidy(QUERIES[name](spark, DATA).collect())
