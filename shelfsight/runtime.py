@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -10,20 +12,42 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
+def _delete(path: str, conf) -> None:
+    from pyspark import SparkContext
+
+    where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that all executors share, from ``spark.checkpoint.dir``.
+    """The application's own folder in the one that all executors share, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) a temporary
-    folder is made, once per application, and set as checkpoint folder.
+    Only on a single machine (a local master) may the session name none; a
+    temporary folder is then made.  On a cluster that raises RuntimeError, as
+    each executor would write to a disk of its own.  The folder is made once
+    per application and deleted when the process ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    app = context.applicationId
+    if app in _OWN:
+        return _OWN[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="shelfsight-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+        path = f"{named.rstrip('/')}/shelfsight-{app}-{uuid.uuid4().hex[:8]}"
+    elif context.master.startswith("local"):
+        path = tempfile.mkdtemp(prefix="shelfsight-")
+        context.setCheckpointDir(path)
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    conf = context._jsc.hadoopConfiguration()
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the virtual machine may be gone
+            _delete(path, conf)
+
+    atexit.register(clean)
+    _OWN[app] = path
+    return path
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -34,11 +58,23 @@ def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage and survives the loss of executors, as the files
-    are outside of them.
+    are outside of them.  ``discard`` deletes them.
     """
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*stages: DataFrame | str | None) -> None:
+    """Delete the files of materialised tables (or of folders) that nothing reads any more."""
+    for x in stages:
+        path = x if isinstance(x, str) else getattr(x, "_scratch", None)
+        if path:
+            from pyspark import SparkContext
+
+            _delete(path, SparkContext._active_spark_context._jsc.hadoopConfiguration())
 
 
 def spread(df: DataFrame) -> DataFrame:
