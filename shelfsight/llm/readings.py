@@ -5,31 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values of the data: a blank photo's dhash and the placeholder of a group.
-BLANK_DHASH = "0" * 16
-NO_GROUP = "unknown-session"
-
+from shelfsight.functions.bits import BLANK, valid_hex
 
-def trimmed(c: Column | str) -> Column:
-    """Without leading and trailing U+0020."""
-    return F.trim(F.col(c) if isinstance(c, str) else c)
+#: Fixed value of the data: the placeholder of a group.
+NO_GROUP = "unknown-session"
 
 
 def clean_hash(c: Column | str) -> Column:
     """64 lower-case hexadecimal characters, else null."""
-    x = F.lower(trimmed(c))
-    return F.when(x.rlike("\\A[0-9a-f]{64}\\z"), x)
+    return valid_hex(c, 64)
 
 
 def clean_dhash(c: Column | str) -> Column:
     """16 lower-case hexadecimal characters that aren't all zero, else null."""
-    x = F.lower(trimmed(c))
-    return F.when(x.rlike("\\A[0-9a-f]{16}\\z") & (x != BLANK_DHASH), x)
+    x = valid_hex(c, 16)
+    return F.when(x != BLANK, x)
 
 
 def clean_group(c: Column | str) -> Column:
     """Trimmed lower-case group; null for null, empty and the placeholder."""
-    x = F.lower(trimmed(c))
+    x = F.lower(F.trim(F.col(c) if isinstance(c, str) else c))
     return F.when((x != "") & (x != NO_GROUP), x)
 
 

@@ -8,7 +8,7 @@ pytest.importorskip("shelfsight.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from shelfsight.llm import components, history, neighbours, overlap, splits, topn  # noqa: E402
+from shelfsight.llm import bits, components, history, neighbours, overlap, splits, topn  # noqa: E402
 
 
 def brute_lists(rows, k=5, least=0.9):
@@ -228,11 +228,27 @@ def test_batches_against_history(spark, seed):
     table = spark.createDataFrame(refs, "photo_hash string")
     tidy = [(i, b, clean((i, h, d, None))[1], clean((i, h, d, None))[2]) for i, b, h, d in rows]
     expected = brute_history({clean((0, h, None, None))[1] for (h,) in refs} - {None}, tidy)
-    got = [r[0] for r in history.duplicates_by_batch(feedback, table, batches_per_delivery=3).collect()]
-    assert sorted(got) == sorted(expected)
+    for options in ({}, {"appends": 2, "rows_per_bucket": 100, "popular": 3}):  # the second compacts into more buckets and cuts keys finer
+        got = [r[0] for r in history.duplicates_by_batch(feedback, table, **options).collect()]
+        assert sorted(got) == sorted(expected)
 
 
 def test_history_of_nothing(spark):
     feedback = spark.createDataFrame([], "feedback_id bigint, batch_no int, photo_hash string, dhash string")
     table = spark.createDataFrame([], "photo_hash string")
     assert history.duplicates_by_batch(feedback, table).collect() == []
+
+
+@pytest.mark.parametrize("popular", [1, 5, 1000])
+def test_close_codes_under_popular_keys(spark, popular):
+    rng = random.Random(9)
+    base = [0, 0xFF, (1 << 63) | 3] + [rng.getrandbits(64) for _ in range(5)]
+    codes = set()
+    for i in range(300):
+        c = base[i % len(base)]
+        for _ in range(rng.randrange(6)):
+            c ^= 1 << rng.randrange(64)
+        codes.add(c - (1 << 64) if c >> 63 else c)
+    df = spark.createDataFrame([(c,) for c in codes] + [(None,)], "code bigint")
+    got = {tuple(r) for r in bits.pairs(bits.keyed(df, "code", "a"), bits.keyed(df, "code", "b"), "a", "b", popular).collect()}
+    assert got == {(a, b) for a in codes for b in codes if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
