@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.runtime import materialise
+from shelfsight.runtime import discard, materialise
 
 
 def connected(links: DataFrame, record: str, key: str) -> DataFrame:
@@ -28,11 +28,12 @@ def connected(links: DataFrame, record: str, key: str) -> DataFrame:
         step = label.join(seen, "r")
         # the record that is a label takes the smallest label seen by its followers
         hook = step.groupBy(F.col("f").alias("r")).agg(F.min("seen").alias("hook"))
-        step = step.join(hook, "r", "left").select("r", F.col("f").alias("old"), F.least("f", "seen", F.coalesce("hook", "f")).alias("f"))
-        step = materialise(step, "label")
-        up = step.select(F.col("r").alias("f"), F.col("f").alias("up"))
-        after = materialise(step.join(up, "f").select("r", "old", F.least("f", "up").alias("f")), "label")
-        changed = after.where("f <> old").limit(1).count()
+        hooked = materialise(step.join(hook, "r", "left").select("r", F.col("f").alias("old"), F.least("f", "seen", F.coalesce("hook", "f")).alias("f")), "hooked")
+        up = hooked.select(F.col("r").alias("f"), F.col("f").alias("up"))
+        after = materialise(hooked.join(up, "f").select("r", "old", F.least("f", "up").alias("f")), "label")
+        discard(label, hooked)
         label = after.select("r", "f")
-        if not changed:
+        label._scratch = after._scratch
+        if not after.where("f <> old").limit(1).count():
+            discard(links)
             return label.select(F.col("r").alias(record), F.col("f").alias("first"))

@@ -63,6 +63,12 @@ first AS (SELECT a AS eval_id, min(b) AS first_eval_id FROM reach GROUP BY 1)
 SELECT first_eval_id, eval_id FROM first WHERE first_eval_id <> eval_id
 """
 
+ORACLE["p4_balance"] = """
+WITH r AS (SELECT DISTINCT eval_id FROM evaluation WHERE eval_id IS NOT NULL),
+t AS (SELECT DISTINCT eval_id, unnest(tags) AS label FROM evaluation)
+SELECT coalesce(label, '(none)') AS label, count(*) AS records, true AS near, true AS whole_sets FROM r LEFT JOIN (SELECT * FROM t WHERE label IS NOT NULL) USING (eval_id) GROUP BY 1
+"""
+
 ORACLE["p5_found"] = f"""
 WITH RECURSIVE one AS (
   SELECT feedback_id, batch_no, {_CLEAN} FROM feedback_preview QUALIFY row_number() OVER (PARTITION BY feedback_id ORDER BY batch_no) = 1

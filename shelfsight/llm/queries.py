@@ -40,15 +40,26 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return overlap.coverage(table(spark, d, "evaluation"), p3_kinds(spark, d))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    sets = splits.tied_sets(table(spark, d, "evaluation"))
-    return sets.where("first <> eval_id").select(F.col("first").alias("first_eval_id"), "eval_id")
+def _tags(records: DataFrame) -> DataFrame:
+    return records.select("eval_id", F.explode("tags").alias("label"))
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "evaluation")
-    labels = records.select("eval_id", F.explode("tags").alias("label"))
-    return splits.stratified_splits(materialise(splits.tied_sets(records), "sets"), labels)
+    return splits.stratified_splits(materialise(splits.tied_sets(records), "sets"), _tags(records))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_splits(spark, d).where("first <> eval_id").select(F.col("first").alias("first_eval_id"), "eval_id")
+
+
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Of each label: its records, and whether every split is within the heaviest set (one at least) of its share; of all sets, whether each is in one split."""
+    placed = materialise(p4_splits(spark, d), "splits")
+    rows = splits.balance(_tags(table(spark, d, "evaluation")), placed)
+    near = F.bool_and(F.abs(F.col("got") - F.col("wanted")) <= F.greatest("heaviest", F.lit(1)))
+    whole = placed.groupBy("first").agg(F.count_distinct("split").alias("n")).agg(F.coalesce(F.max("n") == 1, F.lit(True)).alias("whole_sets"))
+    return rows.groupBy("label").agg(F.max("records").alias("records"), near.alias("near")).join(whole)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_coverage": p3_coverage,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p4_balance": p4_balance,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p7_found": p7_found,

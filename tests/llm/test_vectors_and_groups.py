@@ -203,6 +203,25 @@ def test_splits_keep_sets_and_proportions(spark):
     assert splits.stratified_splits(sets.where("false"), labels.where("false")).collect() == []
 
 
+def test_shares_are_those_of_one_by_one():
+    rng = random.Random(8)
+    for _ in range(300):
+        need = [rng.choice([rng.uniform(-5, 40), float(rng.randrange(20))]) for _ in range(rng.randrange(1, 5))]
+        weight, m = rng.randrange(1, 6), rng.randrange(1, 30)
+        left, got = [round(n * 10**6) for n in need], [0] * len(need)
+        for _ in range(m):
+            s = max(range(len(need)), key=lambda s: (left[s], -s))
+            got[s] += 1
+            left[s] -= weight * 10**6
+        assert splits.shares(need, weight, m) == got
+
+
+def test_balance_of_no_record(spark):
+    none = spark.createDataFrame([], "eval_id bigint, first bigint, label string")
+    placed = splits.stratified_splits(none.select("eval_id", "first"), none.select("eval_id", "label"))
+    assert splits.balance(none.select("eval_id", "label"), placed).collect() == []
+
+
 def brute_history(refs, rows):
     """rows: (id, batch, hash, code) -> ids that are not new."""
     seen = {}
