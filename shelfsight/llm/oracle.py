@@ -49,10 +49,13 @@ SELECT s[1] AS split, s[2] AS source, count(*) AS records, count(n) AS overlappi
 """
 ORACLE["p3_coverage"] = f"""
 WITH {_PAIRS},
-r AS (SELECT eval_id, (max(h IS NOT NULL::int)::int + max((d IS NOT NULL)::int) + max((g IS NOT NULL)::int))::int AS fields FROM e GROUP BY 1),
-n AS (SELECT eval_id, max(same_hash::int) + max(near_hash::int) + max(same_group::int) AS n FROM pairs GROUP BY 1)
-SELECT eval_id, fields, coalesce(n, 0)::int AS matched, CASE WHEN fields > 0 THEN coalesce(n, 0) / fields END AS coverage FROM r LEFT JOIN n USING (eval_id)
-""".replace("max(h IS NOT NULL::int)::int", "max((h IS NOT NULL)::int)")
+r AS (SELECT eval_id, coalesce(max(CASE WHEN h IS NOT NULL THEN 64 END), 0) AS h, coalesce(max(CASE WHEN d IS NOT NULL THEN 16 END), 0) AS d, coalesce(max(length(g)), 0) AS g FROM e GROUP BY 1),
+n AS (SELECT eval_id, max(same_hash::int) AS mh, max(near_hash::int) AS md, max(same_group::int) AS mg FROM pairs GROUP BY 1),
+x AS (SELECT eval_id, h, d, g, coalesce(mh, 0) AS mh, coalesce(md, 0) AS md, coalesce(mg, 0) AS mg FROM r LEFT JOIN n USING (eval_id))
+SELECT eval_id, (h + d + g)::int AS chars, (h * mh + d * md + g * mg)::int AS matched,
+  (mh + (md = 1 AND mh = 0)::int + (mg = 1 AND CASE WHEN d > 0 THEN md WHEN h > 0 THEN mh ELSE 0 END = 0)::int)::int AS spans,
+  CASE WHEN h + d + g > 0 THEN (h * mh + d * md + g * mg) / (h + d + g) END AS coverage FROM x
+"""
 
 ORACLE["p4_found"] = f"""
 WITH RECURSIVE e AS (SELECT DISTINCT eval_id, {_CLEAN}, {_GROUP} FROM evaluation),

@@ -127,7 +127,7 @@ def clean(row):
 COLUMNS = "photo_hash string, dhash string, capture_group string"
 
 
-def test_overlaps_by_brute_force(spark):
+def test_overlaps_by_brute_force(spark, monkeypatch):
     pool = photos(1, 150)
     ev, fb = pool[:60], [(r[0] - 60, *r[1:]) for r in pool[60:]]
     a = spark.createDataFrame(ev + ev[:5], f"eval_id bigint, {COLUMNS}").withColumn("word", F.lit("clash"))
@@ -139,18 +139,21 @@ def test_overlaps_by_brute_force(spark):
             if any(kinds):
                 expected.add((x[0], y[0] + 1000, *kinds))
     assert len({k[2:] for k in expected}) >= 4
+    monkeypatch.setattr(overlap, "SHARD_PATTERNS", 100)
     pairs = overlap.overlaps(a, b)
     assert {tuple(r) for r in pairs.collect()} == expected
     assert overlap.overlaps(a, b.where("false")).collect() == []
     assert overlap.overlaps(a.where("false"), b).collect() == []
     cover = {r["eval_id"]: r for r in overlap.coverage(a, pairs).collect()}
     assert len(cover) == 60
-    assert all((r["coverage"] is None) == (r["fields"] == 0) and r["matched"] <= r["fields"] for r in cover.values())
+    assert all((r["coverage"] is None) == (r["chars"] == 0) and r["matched"] <= r["chars"] and (r["spans"] > 0) == (r["matched"] > 0) for r in cover.values())
 
 
 def test_scan_finds_words_only_whole():
-    assert overlap.scan(iter(["ab", "b"]), "\nab\nabc\nb\n") == [(0, 3, "ab"), (7, 9, "b")]
-    assert overlap.scan(iter([]), "\nab\n") == []
+    text = "\nab\nabc\nb\n"
+    found = overlap.scan(overlap.automaton(["ab", "b"]), text)
+    assert [p for _, _, p in found] == ["ab", "b"] and all(text[lo:hi] == p for lo, hi, p in found)
+    assert overlap.scan(overlap.automaton([]), text) == []
 
 
 def brute_components(links):
