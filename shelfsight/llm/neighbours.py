@@ -9,7 +9,9 @@ the query's k-th best so far, whichever is smaller.  Survivors get the exact
 cosine in double.
 
 The list centres are fitted on a bounded sample (``SAMPLE_PER_LIST`` rows for
-each of at most ``MAX_LISTS`` lists); all rows are assigned.  Equal vectors
+each of at most ``MAX_LISTS`` lists) by partial sums over its partitions; all
+rows are assigned.  Beyond MAX_LISTS * ROWS_PER_LIST vectors the lists grow,
+and are cut into more tiles.  Equal vectors
 are merged before the shuffle: a class of copies keeps its ``k + 1`` smallest
 ids, and each further copy refers to the last of these, whose list is the same
 as its own.  Lists that the sample shows to be long are cut into square tiles,
@@ -19,21 +21,23 @@ so that one task compares at most two blocks of ``BLOCK`` rows.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.runtime import materialise, spread
+from shelfsight.runtime import discard, materialise, spread
 
 ROWS_PER_LIST = 1024
 MAX_LISTS = 16384
 SAMPLE_PER_LIST = 16
 PROBES = 3
 BLOCK = 6144
+#: Stored rows (a vector in a list) for which there is a task.
+ROWS_PER_TASK = 16_384
 COLUMNS = 16
 #: Significance of the test: larger abandons later.
 EPSILON = 2.1
@@ -87,73 +91,139 @@ def _nearest(unit: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
+def _sums(centres, probes: int):
+    """Rows (grp, list, n, total): how many of a partition's vectors have a list among their nearest, and their sum where ``probes`` is 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        counts: dict[str, np.ndarray] = {}
+        for b in batches:
+            grp = np.array(b.column("grp").to_pylist(), object)
+            for g in sorted(set(grp)):
+                own = centres.value[g]
+                unit = _unit(_matrix(b.column("value").take(pa.array(np.flatnonzero(grp == g))))).astype(np.float32)
+                at = _nearest(unit, own, probes)
+                counts[g] = counts.get(g, 0) + np.bincount(at.ravel(), minlength=len(own))
+                if probes == 1:
+                    np.add.at(total.setdefault(g, np.zeros_like(own)), at[:, 0], unit)
+        for g, n in counts.items():
+            some = np.flatnonzero(n)
+            values = [total[g][i].tobytes() for i in some] if probes == 1 else [b""] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(some)), pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(values, pa.binary())], names=["grp", "list", "n", "total"])
+
+    return run
+
+
+def _added(t: pa.Table) -> pa.Table:
+    values = [np.frombuffer(v, np.float32) for v in t["total"].to_pylist() if v]
+    total = np.sum(values, axis=0, dtype=np.float32).tobytes() if values else b""
+    return pa.table({"grp": t["grp"][:1], "list": t["list"][:1], "n": pa.array([sum(t["n"].to_pylist())], pa.int64()), "total": pa.array([total], pa.binary())})
+
+
 def fit_lists(rows: DataFrame, n: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Centres of each group of comparable vectors, and into how many blocks each list is cut.
 
-    Both come from a sample of at most SAMPLE_PER_LIST * MAX_LISTS rows, drawn
-    by a hash of the id.
+    Both come from a sample of about SAMPLE_PER_LIST * MAX_LISTS rows at most,
+    drawn by a hash of the id and written once.  The k-means steps run over
+    its partitions, which give partial sums; the driver only holds the centres
+    (at most about MAX_LISTS of them).
     """
     lists = min(MAX_LISTS, max(1, n // ROWS_PER_LIST))
     share = min(1.0, SAMPLE_PER_LIST * lists / max(1, n))
     if lists == 1:
         return {}
-    drawn = rows.where(F.pmod(F.xxhash64("vector_id", F.lit("centres")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = drawn.select("grp", "value").toArrow()
-    grp, out = np.array(got["grp"].to_pylist(), object), {}
+    spark = rows.sparkSession
+    drawn = lambda salt: F.pmod(F.xxhash64("vector_id", F.lit(salt)), F.lit(1 << 30))
+    sample = materialise(rows.where(drawn("centres") < int(share * (1 << 30))).select("grp", "value", (drawn("first") < (1 << 30) // SAMPLE_PER_LIST).alias("first")), "sample")
+    got = sample.where("first").select("grp", "value").toArrow()
+    grp, centres = np.array(got["grp"].to_pylist(), object), {}
     for g in sorted(set(grp)):
-        unit = _unit(_matrix(got["value"].combine_chunks().take(pa.array(np.flatnonzero(grp == g))))).astype(np.float32)
-        k = max(1, len(unit) // SAMPLE_PER_LIST)
-        centres = unit[np.random.default_rng(7).choice(len(unit), k, replace=False)]
-        for _ in range(3):
-            at = _nearest(unit, centres, 1)[:, 0]
-            total = np.zeros_like(centres)
-            np.add.at(total, at, unit)
-            length = np.linalg.norm(total, axis=1, keepdims=True)
-            centres = np.where(length > 1e-6, total / np.maximum(length, 1e-6), centres)
-        stored = np.bincount(_nearest(unit, centres, PROBES).ravel(), minlength=k) / share
-        out[g] = (centres, np.maximum(1, np.ceil(stored / BLOCK)).astype(np.int64))
-    return out
+        centres[g] = _unit(_matrix(got["value"].combine_chunks().take(pa.array(np.flatnonzero(grp == g))))).astype(np.float32)
+    # a group without a centre stays one list
+    rest = sample.where(F.col("grp").isin(list(centres))).select("grp", "value")
+
+    def summed(probes: int) -> list:
+        part = rest.mapInArrow(_sums(spark.sparkContext.broadcast(centres), probes), "grp string, list int, n bigint, total binary")
+        return part.groupBy("grp", "list").applyInArrow(_added, "grp string, list int, n bigint, total binary").collect()
+
+    for _ in range(3):
+        moved = {g: c.copy() for g, c in centres.items()}
+        for r in summed(1):
+            total = np.frombuffer(r["total"], np.float32)
+            length = float(np.linalg.norm(total))
+            if length > 1e-6:
+                moved[r["grp"]][r["list"]] = total / length
+        centres = moved
+    blocks = {g: np.ones(len(c), np.int64) for g, c in centres.items()}
+    for r in summed(PROBES):
+        blocks[r["grp"]][r["list"]] = max(1, math.ceil(r["n"] / share / BLOCK))
+    discard(sample)
+    return {g: (c, blocks[g]) for g, c in centres.items()}
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _classes(m: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of equal vectors: (class, place within it by id) of each row in the order ``order``, and each class's first row."""
+    _, first, at = np.unique(np.ascontiguousarray(m).view(np.dtype((np.void, m.shape[1] * 4)))[:, 0], return_index=True, return_inverse=True)
+    order = np.lexsort((ids, at))
+    own = at[order]
+    start = np.searchsorted(own, np.arange(len(first)))
+    return order, own, np.arange(len(own)) - start[own], first
 
 
 def _assign(fitted, keep: int, probes: int, groups: int):
-    """Rows of (grp, list, tile, block, ids, value); a surplus copy gives (null value, [id, its deputy])."""
+    """Rows of (grp, list, tile, block, home, ids, value); a surplus copy gives (null value, [id, its deputy])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = fitted.value
         for b in batches:
-            by_group: dict[str, list[int]] = {}
-            for i, g in enumerate(b.column("grp").to_pylist()):
-                by_group.setdefault(g, []).append(i)
-            for g, index in sorted(by_group.items()):
-                part = b.take(pa.array(index))
+            grp = np.array(b.column("grp").to_pylist(), object)
+            for g in sorted(set(grp)):
+                part = b.take(pa.array(np.flatnonzero(grp == g)))
                 m, ids = _matrix(part.column("value")), part.column("vector_id").to_numpy()
-                order = np.argsort(ids, kind="stable")
-                classes: dict[bytes, list[int]] = {}
-                for i in order:
-                    classes.setdefault(m[i].tobytes(), []).append(i)
-                first = np.array([c[0] for c in classes.values()])
-                names = [ids[c[:keep]].tolist() for c in classes.values()]
-                spare = [(int(x), int(ids[c[keep - 1]])) for c in classes.values() for x in ids[c[keep:]]]
-                values = list(classes)
+                order, own, place, first = _classes(m, ids)
+                held = ids[order]
+                deputy = np.full(len(first), -1, np.int64)
+                deputy[own[place == keep - 1]] = held[place == keep - 1]
+                spare = place >= keep
+                names = _lists(np.bincount(own[~spare], minlength=len(first)), pa.array(held[~spare]))
                 if g in lists:
                     centres, blocks = lists[g]
                     at = _nearest(_unit(m[first]).astype(np.float32), centres, probes)
                 else:
                     at, blocks = np.zeros((len(first), 1), np.int64), np.ones(1, np.int64)
-                rows: list[tuple] = []
-                for i, own in enumerate(at.tolist()):
-                    for p, x in enumerate(own):
-                        parts = int(blocks[x])
-                        block = zlib.crc32(values[i]) * parts >> 32
-                        for y in range(parts):
-                            tile = min(block, y) * parts + max(block, y)
-                            rows.append((x, tile, block, p == 0 and y == block, names[i], values[i]))
-                rows += [(-1 - x % groups, 0, 0, True, [x, deputy], None) for x, deputy in spare]
-                cols = list(zip(*rows, strict=True))
+                odd = np.random.default_rng(3).integers(1, 1 << 62, m.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+                mixed = (np.ascontiguousarray(m[first]).view(np.uint32).astype(np.uint64) * odd).sum(1, dtype=np.uint64) >> np.uint64(32)
+                row, where, tile, block, home = [], [], [], [], []
+                for p in range(at.shape[1]):
+                    x = at[:, p]
+                    parts = blocks[x]
+                    z = (mixed * parts.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                    for y in range(int(parts.max())):
+                        some = np.flatnonzero(parts > y)
+                        row.append(some)
+                        where.append(x[some])
+                        tile.append(np.minimum(z[some], y) * parts[some] + np.maximum(z[some], y))
+                        block.append(z[some])
+                        home.append((z[some] == y) & (p == 0))
+                row, where, tile, block, home = (np.concatenate(c) for c in (row, where, tile, block, home))
+                values = pa.array([v.tobytes() for v in m[first]], pa.binary())
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * len(rows)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.binary())],
+                    [pa.array([g] * len(row)), pa.array(where.astype(np.int32)), pa.array(tile.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(home), names.take(take), values.take(take)],
                     names=["grp", "list", "tile", "block", "home", "ids", "value"],
                 )
+                n = int(spare.sum())
+                if n:
+                    pair = np.stack([held[spare], deputy[own[spare]]], 1).ravel()
+                    zero = pa.array(np.zeros(n, np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g] * n), pa.array((-1 - held[spare] % groups).astype(np.int32)), zero, zero, pa.array(np.ones(n, bool)), _lists(np.full(n, 2), pa.array(pair)), pa.nulls(n, pa.binary())],
+                        names=["grp", "list", "tile", "block", "home", "ids", "value"],
+                    )
 
     return run
 
@@ -204,59 +274,96 @@ def scan_list(query: np.ndarray, stored: np.ndarray, k: int, least: float) -> It
                 radius[at : at + 1024] = np.minimum(radius[at : at + 1024], 2 - 2 * both[:, -1] + 2.0 / SCALE)
 
 
+#: Pairs that a task holds before it keeps each vector's best only.
+HELD = 1 << 21
+
+
+def _best(a: np.ndarray, s: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (a, s, x), the ``most`` of each a that come first by (-s, x), in this order; equal (a, x) once."""
+    order = np.lexsort((x, -s, a))
+    a, s, x = a[order], s[order], x[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (x[1:] != x[:-1]) | (s[1:] != s[:-1])
+    a, s, x = a[new], s[new], x[new]
+    top = np.arange(len(a)) - np.searchsorted(a, a) < most
+    return a[top], s[top], x[top]
+
+
+def _expand(index: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``index`` its entries: (place in index, place of the entry)."""
+    n = size[index]
+    row = np.repeat(np.arange(len(index)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + start[index][row]
+
+
 def _compare(k: int, least: float):
     keep = k + 1
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        out_id, out_near = [], []
-        deputies = ([], [])
-        names: dict[bytes, tuple[set[int], set[int], bool]] = {}
-        for ids, value, block, home in zip(t["ids"].to_pylist(), t["value"].to_pylist(), t["block"].to_pylist(), t["home"].to_pylist(), strict=True):
-            if value is None:
-                deputies[0].append(ids[0])
-                deputies[1].append(ids[1])
-                continue
-            old = names.get(value)
-            names[value] = (set(ids) | old[0], {block} | old[1], home or old[2]) if old else (set(ids), {block}, home)
-        if names:
-            m = _unit(np.frombuffer(b"".join(names), np.float32).reshape(len(names), -1))
-            members = []
-            for ids, _, home in names.values():
-                own = sorted(ids)
-                members.append(own[:keep])
-                if home and len(own) > keep:
-                    deputies[0].extend(own[keep:])
-                    deputies[1].extend([own[keep - 1]] * (len(own) - keep))
-            found: list[list[tuple[int, int]]] = [[] for _ in members]
-
-            def settle(i: int, limit: int) -> None:
-                if len(found[i]) > limit:
-                    found[i] = sorted(found[i])[:keep]
-
-            sides = sorted(set().union(*(b for _, b, _ in names.values())))
-            sets = [np.array([i for i, (_, b, _) in enumerate(names.values()) if s in b]) for s in sides]
-            pairs = [(sets[0], sets[0])] if len(sets) == 1 else [(sets[0], sets[1]), (sets[1], sets[0])]
-            for left, right in pairs:
-                for i, j, cos in scan_list(m[left], m[right], keep, least):
+        t = t.combine_chunks()
+        lone = t.filter(pa.compute.is_null(t["value"]))
+        pair = lone["ids"].combine_chunks().flatten().to_numpy().reshape(-1, 2) if lone.num_rows else np.empty((0, 2), np.int64)
+        deputies = [pair]
+        t = t.filter(pa.compute.is_valid(t["value"]))
+        out = [np.empty(0, np.int64)] * 3
+        if t.num_rows:
+            # classes of equal vectors, which may come from several batches: their ids, in order
+            m = _matrix(t["value"].combine_chunks())
+            sizes = pa.compute.list_value_length(t["ids"]).to_numpy()
+            ids, row = t["ids"].combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(m)), sizes)
+            order, own, place, first = _classes(m[row], ids)
+            ids, row = ids[order], row[order]
+            at = np.empty(len(m), np.int64)
+            at[row] = own
+            home = np.zeros(len(first), bool)
+            np.logical_or.at(home, at, t["home"].to_numpy(zero_copy_only=False))
+            deputy = np.full(len(first), -1, np.int64)
+            deputy[own[place == keep - 1]] = ids[place == keep - 1]
+            far = (place >= keep) & home[own]
+            deputies.append(np.stack([ids[far], deputy[own[far]]], 1))
+            near = place < keep
+            ids, own = ids[near], own[near]
+            start, size = np.searchsorted(own, np.arange(len(first))), np.bincount(own, minlength=len(first))
+            some = np.empty(len(first), np.int64)
+            some[at] = np.arange(len(m))
+            unit = _unit(m[some])
+            block = t["block"].to_numpy()
+            sets = [np.unique(at[block == x]) for x in np.unique(block)]
+            sides = [(sets[0], sets[0])] if len(sets) == 1 else [(sets[0], sets[1]), (sets[1], sets[0])]
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            number = 0
+            for left, right in sides:
+                for i, j, cos in scan_list(unit[left], unit[right], keep, least):
                     s = np.rint(cos * SCALE).astype(np.int64)
-                    ok = s >= round(least * SCALE)
-                    for a, b, c in zip(left[i[ok]].tolist(), right[j[ok]].tolist(), s[ok].tolist(), strict=True):
-                        if a != b:
-                            found[a] += [(-c, x) for x in members[b]]
-                            settle(a, 8 * keep)
-            for i, own in enumerate(members):
-                near = sorted(found[i] + [(-SCALE, x) for x in own])
-                for x in own:
-                    mine = [y for y in near if y[1] != x][:k]
-                    if mine:
-                        out_id.append(x)
-                        out_near.append([{"s": s, "id": y} for s, y in mine])
-        n = len(deputies[0])
-        near_type = pa.list_(pa.struct([("s", pa.int32()), ("id", pa.int64())]))
+                    a, b = left[i], right[j]
+                    ok = (s >= round(least * SCALE)) & (a != b)
+                    a, b, s = a[ok], b[ok], s[ok]
+                    which, entry = _expand(b, start, size)
+                    held.append((a[which], s[which], ids[entry]))
+                    number += len(which)
+                    if number > HELD:
+                        held = [_best(*(np.concatenate(c) for c in zip(*held, strict=True)), keep)]
+                        number = len(held[0][0])
+            held.append((own, np.full(len(own), SCALE), ids))
+            a, s, x = _best(*(np.concatenate(c) for c in zip(*held, strict=True)), keep)
+            # each id of a class takes the class's best but itself
+            start, size = np.searchsorted(a, np.arange(len(first))), np.bincount(a, minlength=len(first))
+            which, entry = _expand(own, start, size)
+            other = x[entry] != ids[which]
+            which, entry = which[other], entry[other]
+            top = np.arange(len(which)) - np.searchsorted(which, which) < k
+            out = [which[top], s[entry[top]], x[entry[top]]]
+            names = ids
+        which, s, x = out
+        owner, size = np.unique(which, return_counts=True)
+        pair = np.concatenate(deputies)
+        near = _lists(size, pa.StructArray.from_arrays([pa.array((-s).astype(np.int32)), pa.array(x)], names=["s", "id"]))
+        id_ = np.concatenate([names[owner], pair[:, 0]]) if len(owner) else pair[:, 0]
+        n, o = len(pair), len(owner)
         return pa.table({
-            "vector_id": pa.array(out_id + deputies[0], pa.int64()),
-            "near": pa.array(out_near + [None] * n, near_type),
-            "deputy": pa.array([None] * len(out_id) + deputies[1], pa.int64()),
+            "vector_id": pa.array(id_.astype(np.int64)),
+            "near": pa.concat_arrays([near, pa.nulls(n, near.type)]),
+            "deputy": pa.concat_arrays([pa.nulls(o, pa.int64()), pa.array(pair[:, 1].astype(np.int64))]),
         })
 
     return run
@@ -280,6 +387,9 @@ def nearest_lists(rows: DataFrame, k: int = 5, least: float = 0.9, probes: int =
     # surplus copies pass through in groups of some thousand
     groups = max(64, about // ROWS_PER_LIST)
     placed = spread(rows).mapInArrow(_assign(fitted, k + 1, probes, groups), "grp string, list int, tile int, block int, home boolean, ids array<bigint>, value binary")
+    # by the list and tile, into as many tasks as the rows need
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), about * probes // ROWS_PER_TASK)
+    placed = placed.repartition(tasks, "grp", "list", "tile")
     found = materialise(placed.groupBy("grp", "list", "tile").applyInArrow(_compare(k, least), "vector_id bigint, near array<struct<s:int,id:bigint>>, deputy bigint"), "near")
     # the k best of each vector, over the lists that it shares with others
     best = (
