@@ -143,7 +143,7 @@ def test_scores_by_brute_force():
         edit = lambda w: rng.choice([[], [w], [w], [w], [w, "x"], [f"w{rng.randrange(12)}"]])
         docs = [["x"] * rng.randrange(50) + [y for w in rng.choice(rows)[1].split() for y in edit(w)] for _ in range(40)]
         texts = [np.array([items.vocabulary.get(w, 0) for w in doc], np.int64) for doc in docs]
-        expected = {(t, i) for t, ids in enumerate(texts) for i, own in enumerate(items.words) if leakage.align(own, ids) >= 2 * least * len(own)}
+        expected = {(t, i) for t, ids in enumerate(texts) for i, own in enumerate(items.words) if leakage.align([(own, ids)])[0][0] >= 2 * least * len(own)}
         batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([" ".join(doc) for doc in docs])], names=["doc_id", "text"])
         got = [r for b in leakage._score(SimpleNamespace(value=items), least)(iter([batch])) for r in b.to_pylist()]
         assert {(r["doc_id"], r["item_id"]) for r in got if r["score"] >= least} == expected
@@ -157,7 +157,11 @@ def test_alignment_by_plain_dynamic_programming():
         for i, x in enumerate(a, 1):
             for j, y in enumerate(b, 1):
                 table[i, j] = max(0, table[i - 1, j - 1] + (leakage.MATCH if x == y else leakage.MISMATCH), table[i - 1, j] - leakage.GAP, table[i, j - 1] - leakage.GAP)
-        assert leakage.align(np.array(a), np.array(b)) == table.max()
+        runs = [k for i in range(len(a)) for j in range(len(b)) for k in range(1, 12) if len(a[i : i + k]) == k and a[i : i + k] == b[j : j + k]]
+        (score,), (run,) = leakage.align([(np.array(a), np.array(b))])
+        assert (score, run) == (table.max(), max(runs, default=0))
+        many = leakage.align([(np.array(a), np.array(b)), (np.array([1, 2]), np.array([0, 1, 2, 3])), (np.array(a), np.array([], int))])
+        assert many[0].tolist() == [score, 4, 0] and many[1].tolist() == [run, 2, 0]
 
 
 def brute_spans(docs, span):
