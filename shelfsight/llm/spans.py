@@ -145,12 +145,12 @@ def shared_spans(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> Da
     (unique); positions count code points from 0 and the end is exclusive.
     Null ids, null texts and texts shorter than ``span`` give nothing.  Of
     equal texts all are shared wholly, and only the first takes part in the
-    search.  Equal spans are recognised by 128-bit hashes.  An empty table
+    search.  Equal spans and equal texts are recognised by 128-bit hashes.  An empty table
     gives no row, extra columns do not matter.
     """
-    long = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.length("text").alias("n"))
+    long = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= span)).select("doc_id", "text", F.xxhash64("text").alias("text_key"), F.unhex(F.md5("text")).alias("digest"), F.length("text").alias("n"))
     pieces = materialise(spread(long.select("doc_id", "text", "text_key")).mapInArrow(_seed_rows(span, seed), "piece bigint, text_key bigint, doc_id bigint, pos int"), "pieces")
-    copies = materialise(long.groupBy("text_key", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "copies")
+    copies = materialise(long.groupBy("digest", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "copies")
     several = pieces.groupBy("piece").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("x <> y").select("piece")
     places = pieces.join(several, "piece", "left_semi").join(copies.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
     rows = materialise(long.select("doc_id", "text").join(places, "doc_id").mapInArrow(_span_rows(span, seed), "a bigint, c bigint, doc_id bigint, start int"), "spans")
@@ -158,7 +158,7 @@ def shared_spans(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> Da
     starts = rows.join(common, ["a", "c"], "left_semi").select("doc_id", "start")
     single = copies.where("copies = 1").select("doc_id")
     parts = starts.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_merge_sorted(span), "doc_id bigint, start_pos int, end_pos int").join(single, "doc_id", "left_semi")
-    whole = long.select("doc_id", "text_key", "n").join(copies.where("copies > 1").select("text_key", "n"), ["text_key", "n"], "left_semi")
+    whole = long.select("doc_id", "digest", "n").join(copies.where("copies > 1").select("digest", "n"), ["digest", "n"], "left_semi")
     return parts.unionByName(whole.select("doc_id", F.lit(0).alias("start_pos"), F.col("n").cast("int").alias("end_pos")))
 
 
