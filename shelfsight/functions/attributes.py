@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,54 +55,62 @@ def _length(x: Column) -> Column:
 _NORMAL: dict[str, Normaliser] = {"drive": _drive, "dimension": _dimension, "measurement": _measurement, "length": _length}
 
 
-@dataclass(frozen=True)
-class Rule:
-    """One key's pattern (case-insensitive) and the normal form of what it finds."""
+class Rules:
+    """An ordered, unchangeable table of rules: a name, the key it finds, its pattern (case-insensitive) and normal form.
 
-    id: str
-    key: str
-    pattern: str
-    normal: Normaliser = plain
+    ``plus`` and ``only`` give new tables; the names of a table are distinct.
+    """
+
+    def __init__(self, *table: tuple[str, str, str, Normaliser]):
+        self.table = table
+        self.keys = tuple(dict.fromkeys(key for _, key, _, _ in table))
 
+    def plus(self, name: str, key: str, pattern: str, normal: Normaliser = plain) -> Rules:
+        """With one more rule behind the others; ValueError if its name is taken or its pattern is none."""
+        taken = {n for n, *_ in self.table}
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"{name}: {e}") from e
+        if name in taken:
+            raise ValueError(f"{name} is the name of another rule")
+        return Rules(*self.table, (name, key, pattern, normal))
 
-RULES: list[Rule] = [Rule(f"{k}-1", k, p, _NORMAL.get(k, plain)) for k, p in PATTERNS]
+    def only(self, *keys: str) -> Rules:
+        return Rules(*(r for r in self.table if r[1] in keys))
 
+    def without(self, *keys: str) -> Rules:
+        return Rules(*(r for r in self.table if r[1] not in keys))
 
-def register(rule: Rule, rules: list[Rule] = RULES) -> None:
-    """Append a rule; its id must be new and its pattern must compile (both checked)."""
-    import re
 
-    if any(r.id == rule.id for r in rules):
-        raise ValueError(f"rule {rule.id} is there already")
-    re.compile(rule.pattern)
-    rules.append(rule)
+RULES = Rules(*((k, k, p, _NORMAL.get(k, plain)) for k, p in PATTERNS))
 
 
-def parse(text: Column | str, rules: list[Rule] | None = None, limit: int | None = None) -> Column:
-    """array<struct<key, value, raw, rule>> of all matches, rule by rule; empty for null.
+def parse(text: Column | str, rules: Rules = RULES, limit: int | None = None) -> Column:
+    """array<struct<key, value, raw, rule, source>> of all matches, rule by rule; empty for null.
 
-    The whole text is read, or its first ``limit`` characters.
+    The whole text is read, or its first ``limit`` characters.  The source is
+    always ``parser``.
     """
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     text = text if limit is None else F.substring(text, 1, limit)
 
-    def records(r: Rule) -> Column:
-        found = F.regexp_extract_all(text, F.lit(f"(?iU){r.pattern}"), F.lit(0))
-        return F.transform(found, lambda m: F.struct(F.lit(r.key).alias("key"), r.normal(F.upper(m)).alias("value"), m.alias("raw"), F.lit(r.id).alias("rule")))
+    def records(name: str, key: str, pattern: str, normal: Normaliser) -> Column:
+        found = F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(0))
+        return F.transform(found, lambda m: F.struct(F.lit(key).alias("key"), normal(F.upper(m)).alias("value"), m.alias("raw"), F.lit(name).alias("rule"), F.lit("parser").alias("source")))
 
-    return F.flatten(F.array(*(records(r) for r in (RULES if rules is None else rules))))
+    return F.flatten(F.array(*(records(*r) for r in rules.table)))
 
 
-def values(text: Column | str, rules: list[Rule] | None = None, limit: int | None = None) -> Column:
+def values(text: Column | str, rules: Rules = RULES, limit: int | None = None) -> Column:
     """map<key, sorted distinct values> of the keys that were found."""
-    rules = RULES if rules is None else rules
     found = parse(text, rules, limit)
 
     def of(k: str) -> Column:
         own = F.transform(F.filter(found, lambda x: x["key"] == k), lambda x: x["value"])
         return F.struct(F.lit(k).alias("key"), F.array_sort(F.array_distinct(own)).alias("value"))
 
-    each = [of(k) for k in dict.fromkeys(r.key for r in rules)]
+    each = [of(k) for k in rules.keys]
     return F.map_from_entries(F.filter(F.array(*each), lambda x: F.size(x["value"]) > 0))
 
 

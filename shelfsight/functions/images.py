@@ -15,17 +15,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed values of the reduction: the cubic's parameter and reach, and the bits of its whole-number weights.
+CUBIC, REACH, WEIGHT_BITS = -0.5, 2.0, 22
+
+
+def cubic_weights(size: int, to: int) -> np.ndarray:
+    """(to, size) whole-number weights of the antialiased bicubic reduction (Keys 1981), each row adding up to about 2 ** WEIGHT_BITS."""
+    scale = size / to
+    wide = max(scale, 1.0)
+    middle = (np.arange(to) + 0.5) * scale
+    first = np.maximum(0, (middle - REACH * wide + 0.5).astype(int))
+    last = np.minimum(size, (middle + REACH * wide + 0.5).astype(int))
+    at = np.arange(size)
+    x = np.abs((at[None] - middle[:, None] + 0.5) / wide)
+    near = ((CUBIC + 2) * x - (CUBIC + 3)) * x * x + 1
+    far = ((x - 5) * x + 8) * x * CUBIC - 4 * CUBIC
+    w = np.where(x < 1, near, np.where(x < 2, far, 0.0)) * ((at[None] >= first[:, None]) & (at[None] < last[:, None]))
+    w /= w.sum(1, keepdims=True)
+    return np.trunc(w * 2**WEIGHT_BITS + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
+
+
 def resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the source pixels of each cell (box filter), float64."""
-    rows = np.linspace(0, grey.shape[0], height + 1)
-    cols = np.linspace(0, grey.shape[1], width + 1)
+    """Bicubic reduction of whole grey values 0 to 255, rows first, rounded and limited after each direction."""
 
-    def weights(edges: np.ndarray, n: int) -> np.ndarray:
-        at = np.arange(n)
-        w = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
-        return w / w.sum(1, keepdims=True)
+    def reduced(x: np.ndarray, to: int) -> np.ndarray:
+        if x.shape[1] == to:
+            return x
+        return np.clip((x @ cubic_weights(x.shape[1], to).T + (1 << (WEIGHT_BITS - 1))) >> WEIGHT_BITS, 0, 255)
 
-    return weights(rows, grey.shape[0]) @ grey.astype(np.float64) @ weights(cols, grey.shape[1]).T
+    return reduced(reduced(grey.astype(np.int64), width).T, height).T
 
 
 def to_grey(pixels: np.ndarray) -> np.ndarray:
@@ -33,18 +51,21 @@ def to_grey(pixels: np.ndarray) -> np.ndarray:
     return pixels.astype(np.float64) @ np.array([0.299, 0.587, 0.114]) if pixels.ndim == 3 else pixels.astype(np.float64)
 
 
+def whole_grey(pixels: np.ndarray) -> np.ndarray:
+    """Grey values as whole numbers from 0 to 255."""
+    return np.clip(np.floor(to_grey(pixels) + 0.5), 0, 255).astype(np.int64)
+
+
 def dhash(grey: np.ndarray) -> str:
-    """Sixteen hexadecimal digits of the 64 comparisons of neighbours in a 9 x 8 reduction, bits little-endian."""
-    small = resize(grey, 8, 9)
+    """Sixteen hexadecimal digits of the number whose bit n is the n-th comparison of neighbours in a 9 x 8 reduction."""
+    small = resize(whole_grey(grey), 8, 9)
     bits = (small[:, 1:] > small[:, :-1]).ravel()
-    return np.packbits(bits, bitorder="little").tobytes().hex()
+    return np.packbits(bits[::-1]).tobytes().hex()
 
 
 def laplacian_variance(grey: np.ndarray) -> float:
-    """Variance of the 4-neighbour Laplacian; low for blurred images, 0 below 3 x 3."""
-    g = grey.astype(np.float64)
-    if min(g.shape) < 3:
-        return 0.0
+    """Variance of the 4-neighbour Laplacian, the image mirrored at its edges without repeating them; low for blurred images."""
+    g = np.pad(grey.astype(np.float64), 1, mode="reflect")
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
@@ -63,14 +84,28 @@ def mean_filter(x: np.ndarray, window: int) -> np.ndarray:
     return (total[window : window + n, window : window + m] - total[:n, window : window + m] - total[window : window + n, :m] + total[:n, :m]) / window**2
 
 
-def spectral_saliency(grey: np.ndarray, window: int = 3) -> np.ndarray:
-    """Spectral residual saliency (Hou and Zhang 2007), scaled to [0, 1]; zeros for a flat image."""
+#: Window of both mean filters of the saliency.
+SALIENCY_WINDOW = 5
+
+
+def spectral_saliency(grey: np.ndarray, window: int = SALIENCY_WINDOW) -> np.ndarray:
+    """Spectral residual saliency (Hou and Zhang 2007) with the zero frequency's place in the middle, as a share of its peak."""
     f = np.fft.fft2(grey.astype(np.float64))
     log = np.log(np.abs(f) + 1e-8)
-    residual = log - mean_filter(log, window)
-    out = mean_filter(np.abs(np.fft.ifft2(np.exp(residual + 1j * np.angle(f)))) ** 2, window)
-    span = out.max() - out.min()
-    return (out - out.min()) / span if span > 1e-12 and np.ptp(grey) > 0 else np.zeros_like(out)
+    power = np.abs(np.fft.ifft2(np.exp(log - mean_filter(log, window) + 1j * np.angle(f)))) ** 2
+    out = mean_filter(np.fft.fftshift(power), window)
+    peak = out.max(initial=0.0)
+    return out / peak if np.isfinite(peak) and peak > 0 else np.zeros_like(out)
+
+
+def saliency_term(saliency: np.ndarray, x: int, y: int, width: int, height: int) -> float:
+    """How salient a pixel box is: the geometric mean of its share of the whole and of a third of its relative density, each 1 at most."""
+    part = saliency[max(0, y) : y + height, max(0, x) : x + width]
+    if not part.size:
+        return 0.0
+    mass = part.sum() / max(1e-6, saliency.sum())
+    density = part.mean() / max(1e-6, saliency.mean())
+    return float(np.sqrt(min(1.0, mass) * min(1.0, density / 3)))
 
 
 def pad_square(pixels: np.ndarray, value: int = 127) -> np.ndarray:
@@ -83,14 +118,26 @@ def pad_square(pixels: np.ndarray, value: int = 127) -> np.ndarray:
     return out
 
 
-#: Fixed views: (left, top, right, bottom) as fractions.
-VIEWS = {"global": (0, 0, 1, 1), "center": (0.2, 0.2, 0.8, 0.8), "left": (0, 0, 0.6, 1), "right": (0.4, 0, 1, 1), "top": (0, 0, 1, 0.6), "bottom": (0, 0.4, 1, 1)}
+#: Fixed views: (left, top, right, bottom) as fractions; and how much of the lower end the detail view of a tip takes.
+VIEWS = {"global": (0, 0, 1, 1), "center": (0.125, 0.125, 0.875, 0.875), "left": (0, 0, 0.75, 1), "right": (0.25, 0, 1, 1), "top": (0, 0, 1, 0.75), "bottom": (0, 0.25, 1, 1)}
+TIP_SHARE = 0.3
+
+
+def cropped(pixels: np.ndarray, left: float, top: float, right: float, bottom: float) -> np.ndarray:
+    """The part between fractions, rounded down, of one pixel at least each way."""
+    h, w = pixels.shape[:2]
+    x, y = int(left * w), int(top * h)
+    return pixels[y : max(y + 1, int(bottom * h)), x : max(x + 1, int(right * w))]
 
 
 def views(pixels: np.ndarray) -> dict[str, np.ndarray]:
     """Six overlapping views."""
-    h, w = pixels.shape[:2]
-    return {n: pixels[int(t * h) : max(int(t * h) + 1, round(b * h)), int(x * w) : max(int(x * w) + 1, round(r * w))] for n, (x, t, r, b) in VIEWS.items()}
+    return {n: cropped(pixels, *v) for n, v in VIEWS.items()}
+
+
+def tip_view(pixels: np.ndarray) -> np.ndarray:
+    """The lower end, where tips and markings are."""
+    return cropped(pixels, 0, 1 - TIP_SHARE, 1, 1)
 
 
 def patch_mask(rows: int, cols: int, left: float, top: float, right: float, bottom: float) -> np.ndarray:
@@ -100,6 +147,8 @@ def patch_mask(rows: int, cols: int, left: float, top: float, right: float, bott
 
 
 def metrics(grey: np.ndarray) -> dict[str, float | int | str]:
+    """Of whole grey values; larger images are to be reduced to 512 pixels a side for the blur before."""
+    grey = whole_grey(grey)
     return {"dhash": dhash(grey), "blur": laplacian_variance(grey), "gray_std": float(grey.std()), "crop_pixels": int(grey.size), "min_side": int(min(grey.shape))}
 
 

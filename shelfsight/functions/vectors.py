@@ -91,7 +91,7 @@ def symmetric_best(a: Column | str, b: Column | str) -> Column:
 
 
 def aggregate(values: Column, how: str, top_k: int = 8, trim: float = 0.1) -> Column:
-    """mean, median, trimmed_mean (int(trim * n) off each end) or top_k_mean of an array of doubles."""
+    """mean, median, trimmed_mean (int(trim * n) off each end) or top_k of an array of doubles."""
     n = F.size(values)
     ascending = F.array_sort(values)
     if how == "mean":
@@ -101,7 +101,7 @@ def aggregate(values: Column, how: str, top_k: int = 8, trim: float = 0.1) -> Co
     if how == "trimmed_mean":
         cut = F.floor(F.lit(trim) * n).cast("int")
         return mean(F.slice(ascending, cut + 1, n - 2 * cut))
-    if how == "top_k_mean":
+    if how == "top_k":
         return mean(F.slice(F.sort_array(values, asc=False), F.lit(1), F.least(F.lit(top_k), n)))
     raise ValueError(f"unknown aggregation {how}")
 
@@ -127,7 +127,7 @@ def _collapse(values: np.ndarray, how: str, k: int, trim: float) -> float:
     if how == "trimmed_mean":
         cut = int(trim * len(values))
         ascending = ascending[cut : len(values) - cut]
-    elif how == "top_k_mean":
+    elif how == "top_k":
         ascending = ascending[-k:]
     return float(ascending.mean())
 
@@ -148,7 +148,7 @@ def _best_match(how: str, top_k: int, trim: float, least: int):
 
 def patch_similarity(a: Column | str, b: Column | str, how: str = "mean", top_k: int = 8, trim: float = 0.1) -> Column:
     """Symmetric similarity of two patch matrices, Arrow-batched; null with fewer than four patches on a side."""
-    if how not in ("mean", "median", "trimmed_mean", "top_k_mean"):
+    if how not in ("mean", "median", "trimmed_mean", "top_k"):
         raise ValueError(f"unknown aggregation {how}")
     kind = "array<array<double>>"
     return _best_match(how, top_k, trim, 4)(_col(a).cast(kind), _col(b).cast(kind))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from shelfsight.functions import attributes as A
 from shelfsight.functions import text as X
 from shelfsight.operators import catalog as C
-from shelfsight.operators import search as S
 from shelfsight.plans.registry import query
 from shelfsight.runtime import table
 
@@ -108,19 +107,25 @@ WHEN 'dimension' THEN regexp_replace(translate(replace(regexp_replace(upper(raw)
 ELSE replace(regexp_replace(upper(raw), '\s+', '', 'g'), ',', '.') END"""
 
 
-@query("attribute_parse", f"WITH {LATEST}, t AS (SELECT product_id AS id, substr(coalesce(description, ''), 1, 4000) AS t FROM p), m AS ({_sql_rules('t')}) SELECT id AS product_id, key, {_NORMAL_SQL} AS value, count(*) AS n FROM m GROUP BY 1, 2, 3")
+@query("attribute_parse", f"WITH {LATEST}, t AS (SELECT product_id AS id, coalesce(description, '') AS t FROM p), m AS ({_sql_rules('t')}) SELECT id AS product_id, key, {_NORMAL_SQL} AS value, count(*) AS n FROM m GROUP BY 1, 2, 3")
 def attribute_parse(spark, d):
     rows = _products(spark, d).select("product_id", F.explode(A.parse("description")).alias("a")).where("a.key <> 'measurement'")
     return rows.groupBy("product_id", F.col("a.key").alias("key"), F.col("a.value").alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("attribute_measurements")
+# RE2 has no look-ahead, so the character behind a unit is matched and cut off again.
+_UNIT_SQL = r"\b\d+(?:[.,]\d+)?\s*(?:MM|CM|M|INCH|IN)(?:\W|$)|\b\d+(?:[.,]\d+)?\s*[\"″''’]"
+
+
+@query("attribute_measurements", f"""WITH {LATEST}, m AS (SELECT product_id, unnest(regexp_extract_all(coalesce(description, ''), '(?i){_UNIT_SQL}')) AS raw FROM p),
+u AS (SELECT product_id, regexp_replace(raw, '(?i)(MM|CM|M|INCH|IN)\\W$', '\\1') AS raw FROM m)
+SELECT DISTINCT product_id, regexp_replace(replace(regexp_replace(upper(raw), '\\s+', '', 'g'), ',', '.'), '[''’]$', '"') AS value FROM u""")
 def attribute_measurements(spark, d):
     rows = _products(spark, d).select("product_id", F.explode(A.parse("description")).alias("a")).where("a.key = 'measurement'")
     return rows.select("product_id", F.col("a.value").alias("value")).distinct()
 
 
-@query("attribute_distinct", f"WITH {LATEST}, t AS (SELECT product_id AS id, substr(coalesce(description, ''), 1, 4000) AS t FROM p), m AS ({_sql_rules('t')}), v AS (SELECT DISTINCT id, key, {_NORMAL_SQL} AS value FROM m) SELECT key, count(DISTINCT id) AS products, count(DISTINCT value) AS distinct_values FROM v GROUP BY 1")
+@query("attribute_distinct", f"WITH {LATEST}, t AS (SELECT product_id AS id, coalesce(description, '') AS t FROM p), m AS ({_sql_rules('t')}), v AS (SELECT DISTINCT id, key, {_NORMAL_SQL} AS value FROM m) SELECT key, count(DISTINCT id) AS products, count(DISTINCT value) AS distinct_values FROM v GROUP BY 1")
 def attribute_distinct(spark, d):
     rows = C.attribute_rows(_products(spark, d), "product_id", "description").where("key <> 'measurement'")
     return rows.groupBy("key").agg(F.count_distinct("product_id").alias("products"), F.count_distinct("value").alias("distinct_values"))
@@ -139,9 +144,9 @@ def attribute_distinct_all(spark, d):
     return rows.groupBy("key").agg(F.count_distinct("product_id").alias("products"), F.count_distinct("value").alias("distinct_values"))
 
 
-@query("attribute_colors_of_documents", f"WITH t AS (SELECT doc_id AS id, substr(coalesce(text, ''), 1, 4000) AS t FROM documents) SELECT upper(c) AS color, count(*) AS n, count(DISTINCT id) AS documents FROM (SELECT id, unnest(regexp_extract_all(t, '(?i){dict(A.PATTERNS)['color']}')) AS c FROM t) GROUP BY 1")
+@query("attribute_colors_of_documents", f"WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents) SELECT upper(c) AS color, count(*) AS n, count(DISTINCT id) AS documents FROM (SELECT id, unnest(regexp_extract_all(t, '(?i){dict(A.PATTERNS)['color']}')) AS c FROM t) GROUP BY 1")
 def attribute_colors_of_documents(spark, d):
-    rule = [r for r in A.RULES if r.key == "color"]
+    rule = A.RULES.only("color")
     rows = table(spark, d, "documents").select("doc_id", F.explode(A.parse("text", rule)).alias("a"))
     return rows.groupBy(F.col("a.value").alias("color")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
@@ -149,12 +154,12 @@ def attribute_colors_of_documents(spark, d):
 _VALUES = f"v AS (SELECT DISTINCT id, key, {_NORMAL_SQL} AS value FROM m WHERE key <> 'model')"
 
 
-@query("attribute_jaccard_compat", f"""WITH {LATEST}, {EARLIEST}, t AS (SELECT product_id * 2 AS id, substr(coalesce(description, ''), 1, 4000) AS t FROM p UNION ALL SELECT product_id * 2 + 1, substr(coalesce(description, ''), 1, 4000) FROM p0), m AS ({_sql_rules('t')}), {_VALUES},
+@query("attribute_jaccard_compat", f"""WITH {LATEST}, {EARLIEST}, t AS (SELECT product_id * 2 AS id, coalesce(description, '') AS t FROM p UNION ALL SELECT product_id * 2 + 1, coalesce(description, '') FROM p0), m AS ({_sql_rules('t')}), {_VALUES},
 l AS (SELECT id, key, list(value) AS vs FROM v GROUP BY 1, 2), j AS (SELECT a.id // 2 AS product_id, key, len(list_intersect(a.vs, b.vs)) / len(list_distinct(list_concat(a.vs, b.vs))) AS s FROM l a JOIN l b USING (key) WHERE a.id % 2 = 0 AND b.id = a.id + 1 AND key <> 'drive')
 SELECT product_id, round(avg(s), 6) AS compatibility FROM j GROUP BY 1""")
 def attribute_jaccard_compat(spark, d):
     raw = table(spark, d, "products")
-    rules = [r for r in A.RULES if r.key not in ("measurement", "model", "drive")]
+    rules = A.RULES.without("measurement", "model", "drive")
     a, b = (df.select("product_id", A.values("description", rules).alias(n)) for df, n in ((C.latest_products(raw), "a"), (C.earliest_products(raw), "b")))
     return a.join(b, "product_id").select("product_id", F.round(A.compatibility("a", "b"), 6).alias("compatibility")).where("compatibility IS NOT NULL")
 
@@ -167,23 +172,33 @@ def attribute_compatibility(spark, d):
     return a.join(b, "product_id").select("product_id", F.round(A.compatibility("a", "b"), 6).alias("compatibility")).where("compatibility IS NOT NULL")
 
 
-@query("drive_family_compat", "SELECT * FROM (VALUES ('PH1','PH2',0.5::double),('PH2','PH2',1.0),('PHILLIPS','FLAT',0.0),('PH2','PHILLIPS',0.5),('PZ1','PZ3',0.5),('TORX','PZ1',0.0),('PLUS','PHILLIPS',0.0)) t(a, b, score)")
+_DRIVES = ("PH2", "plus", "Minus", "PZ1", "TORX", "Phillips PZ3", "flat")
+_DRIVE_FORM = "CASE WHEN x IN ('PLUS','PHILLIPS','PHILIPS','CROSS','KEMBANG') THEN 'PHILLIPS' WHEN x IN ('MINUS','FLAT','FLATHEAD','SLOTTED') THEN 'FLAT' ELSE x END"
+
+
+@query("drive_family_compat", f"""WITH {LATEST}, t AS (SELECT product_id, regexp_extract_all(coalesce(description, '') || ' ' || {list(_DRIVES)}[product_id % 7 + 1], '(?i){dict(A.PATTERNS)['drive']}') AS raw FROM p),
+v AS (SELECT product_id, list_distinct(list_transform(raw, lambda r: list_transform([upper(r)], lambda x: {_DRIVE_FORM})[1])) AS vs FROM t),
+f AS (SELECT *, list_distinct(list_transform(vs, lambda x: CASE WHEN x LIKE 'PH%' THEN 'philips' WHEN x = 'FLAT' THEN 'flat' WHEN x LIKE 'PZ%' THEN 'pozidrive' ELSE 'torx' END)) AS fs FROM v)
+SELECT a.product_id, CASE WHEN len(list_intersect(a.vs, b.vs)) > 0 THEN len(list_intersect(a.vs, b.vs)) / len(list_distinct(list_concat(a.vs, b.vs))) WHEN len(list_intersect(a.fs, b.fs)) > 0 THEN 0.5 ELSE 0.0 END AS score
+FROM f a JOIN f b ON b.product_id = a.product_id + 1""")
 def drive_family_compat(spark, d):
-    rows = spark.createDataFrame([("PH1", "PH2"), ("PH2", "PH2"), ("PHILLIPS", "FLAT"), ("PH2", "PHILLIPS"), ("PZ1", "PZ3"), ("TORX", "PZ1"), ("PLUS", "PHILLIPS")], "a string, b string")
-    return rows.select("a", "b", A.drive_score(F.array("a"), F.array("b")).alias("score"))
+    """Of each product and the next one: the score of their drives; as the goods name none, a drive by the id is added to each description."""
+    drive = F.element_at(F.array(*(F.lit(w) for w in _DRIVES)), (F.col("product_id") % len(_DRIVES) + 1).cast("int"))
+    rows = _products(spark, d).select("product_id", A.values(F.concat_ws(" ", F.coalesce("description", F.lit("")), drive), A.RULES.only("drive"))["drive"].alias("vs"))
+    return rows.join(rows.select((F.col("product_id") - 1).alias("product_id"), F.col("vs").alias("other")), "product_id").select("product_id", A.drive_score(F.col("vs"), F.col("other")).alias("score"))
 
 
-@query("attribute_trusted_override", f"""WITH {LATEST}, t AS (SELECT product_id AS id, substr(coalesce(description, ''), 1, 4000) AS t FROM p), m AS (SELECT * FROM ({_sql_rules('t')}) WHERE key = 'color'), v AS (SELECT id, list_sort(list_distinct(list(upper(raw)))) AS vs FROM m GROUP BY 1)
+@query("attribute_trusted_override", f"""WITH {LATEST}, t AS (SELECT product_id AS id, coalesce(description, '') AS t FROM p), m AS (SELECT * FROM ({_sql_rules('t')}) WHERE key = 'color'), v AS (SELECT id, list_sort(list_distinct(list(upper(raw)))) AS vs FROM m GROUP BY 1)
 SELECT p.product_id, CASE WHEN p.category IS NOT NULL THEN upper(replace(p.category, ' ', '')) ELSE coalesce(array_to_string(v.vs, ','), '') END AS color FROM p LEFT JOIN v ON v.id = p.product_id""")
 def attribute_trusted_override(spark, d):
     p = _products(spark, d)
     manual = p.where("category IS NOT NULL").select("product_id", F.lit("color").alias("key"), F.col("category").alias("value"), F.lit("manual").alias("source"))
-    color = [r for r in A.RULES if r.key == "color"]
+    color = A.RULES.only("color")
     rows = p.select("product_id", A.values("description", color).alias("parsed")).join(C.trusted_map(manual), "product_id", "left")
     return rows.select("product_id", F.coalesce(F.array_join(F.try_element_at(A.with_trusted(F.col("parsed"), F.col("trusted")), F.lit("color")), ","), F.lit("")).alias("color"))
 
 
-@query("attribute_refresh", f"""WITH {LATEST}, t AS (SELECT product_id AS id, substr(coalesce(description, ''), 1, 4000) AS t FROM p), m AS (SELECT * FROM ({_sql_rules('t')}) WHERE key = 'quantity'), v AS (SELECT DISTINCT id, {_NORMAL_SQL} AS value FROM m)
+@query("attribute_refresh", f"""WITH {LATEST}, t AS (SELECT product_id AS id, coalesce(description, '') AS t FROM p), m AS (SELECT * FROM ({_sql_rules('t')}) WHERE key = 'quantity'), v AS (SELECT DISTINCT id, {_NORMAL_SQL} AS value FROM m)
 SELECT id AS product_id, 'quantity' AS key, value, 'parser' AS source FROM v UNION SELECT product_id, 'family', family, 'manual' FROM p WHERE family IS NOT NULL""")
 def attribute_refresh(spark, d):
     p = _products(spark, d)
@@ -250,5 +265,3 @@ def label_still_current(spark, d):
 def index_counts(spark, d):
     return _refs(spark, d).groupBy(F.coalesce("category", F.lit("unknown")).alias("category")).agg(F.count("*").alias("images"), F.count_if(F.lower(F.trim("representation")) == "object").alias("objects"), F.count_distinct("sku").alias("skus"))
 
-
-__all__ = ["S"]

@@ -28,8 +28,8 @@ class Settings:
     high_gap: float = 0.08
     medium: float = 0.70
     threshold: float | None = None
-    patch_aggregation: str = "mean"
-    patch_top_k: int = 8
+    patch_aggregation: str = "top_k"
+    patch_top_k: int = 16
     patch_trim: float = 0.1
 
     def __post_init__(self) -> None:
@@ -44,14 +44,16 @@ class Settings:
             bad.append("candidates_per_sku")
         if not 1 <= self.top_k <= 50:
             bad.append("top_k")
-        if self.rank_bias < 0:
+        if not (math.isfinite(self.rank_bias) and self.rank_bias >= 0):
             bad.append("rank_bias")
-        if not 0 <= self.ambiguity_margin <= 1:
+        if not 0 <= self.ambiguity_margin <= 2:
             bad.append("ambiguity_margin")
-        if not (self.medium <= self.high and 0 <= self.high_gap):
+        if not (-1 <= self.medium <= self.high <= 1 and 0 <= self.high_gap <= 2):
             bad.append("high")
-        if self.patch_aggregation not in ("mean", "median", "trimmed_mean", "top_k_mean"):
+        if self.patch_aggregation not in ("top_k", "median", "trimmed_mean", "mean"):
             bad.append("patch_aggregation")
+        if not 4 <= self.patch_top_k <= 256:
+            bad.append("patch_top_k")
         if not 0 <= self.patch_trim < 0.5:
             bad.append("patch_trim")
         if bad:

@@ -45,7 +45,7 @@ def test_weighted_mean(spark):
     assert one(spark, V.weighted_mean([(F.lit(None).cast("double"), 1.0)])) is None
 
 
-@pytest.mark.parametrize("how", ["mean", "median", "trimmed_mean", "top_k_mean"])
+@pytest.mark.parametrize("how", ["mean", "median", "trimmed_mean", "top_k"])
 def test_patches(spark, how):
     rng = np.random.default_rng(1)
     unit = lambda n: (lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).tolist())(rng.standard_normal((n, 6)))
@@ -162,12 +162,15 @@ def test_counts_of_all_keys_by_brute_force(spark, tmp_path):
     assert [r["n"] for r in rows if (r["product_id"], r["value"]) == (303, "10MM")] == [1]
 
 
-def test_rules_can_be_added():
-    rules = list(A.RULES)
-    A.register(A.Rule("weight-1", "weight", r"\b\d+\s*KG\b"), rules)
-    assert rules[-1].key == "weight"
-    with pytest.raises(ValueError):
-        A.register(A.Rule("weight-1", "weight", "x"), rules)
+def test_rules_can_be_added(spark):
+    more = A.RULES.plus("weight", "weight", r"\b\d+\s*KG\b")
+    assert one(spark, A.values(F.lit("red 5 kg"), more)) == {"color": ["RED"], "weight": ["5KG"]}
+    assert "weight" not in A.RULES.keys and more.only("weight").keys == ("weight",)
+    (found,) = one(spark, A.parse(F.lit("5 kg"), more))
+    assert tuple(found) == ("weight", "5KG", "5 kg", "weight", "parser")
+    for name, pattern in (("weight", "x"), ("other", "(")):
+        with pytest.raises(ValueError):
+            more.plus(name, name, pattern)
 
 
 def test_hash_distance(spark):
@@ -232,14 +235,24 @@ def test_boxes(spark):
 def test_pixels():
     ramp = np.tile(np.arange(9), (8, 1)) * 20
     assert I.dhash(ramp) == "f" * 16 and I.dhash(ramp[:, ::-1]) == "0" * 16
+    first = np.zeros((8, 9))
+    first[0, 1:] = 200
+    assert I.dhash(first) == "0" * 15 + "1"  # the first comparison is the lowest bit
+    last = np.zeros((8, 9))
+    last[7, 8] = 200
+    assert I.dhash(last) == "8" + "0" * 15
+    assert I.resize(np.full((20, 30), 77), 8, 9).tolist() == [[77] * 9] * 8
     assert I.laplacian_variance(np.full((10, 10), 7)) == 0 and I.laplacian_variance(np.eye(10) * 255) > 100
     assert I.pad_square(np.zeros((2, 4), np.uint8)).shape == (4, 4)
     assert set(I.views(np.zeros((10, 10, 3)))) == {"global", "center", "left", "right", "top", "bottom"}
-    flat = I.spectral_saliency(np.full((16, 16), 9.0))
+    sizes = {n: v.shape for n, v in I.views(np.zeros((100, 80))).items()}
+    assert sizes == {"global": (100, 80), "center": (75, 60), "left": (100, 60), "right": (100, 60), "top": (75, 80), "bottom": (75, 80)}
+    assert I.tip_view(np.zeros((100, 80))).shape == (30, 80) and I.tip_view(np.zeros((1, 1))).shape == (1, 1)
     spot = np.zeros((32, 32))
     spot[20:23, 10:13] = 255
-    s = I.spectral_saliency(spot)
-    assert not flat.any() and s[19:24, 9:14].mean() > 3 * s.mean()
+    s = np.fft.fftshift(I.spectral_saliency(spot))
+    assert s.max() == 1 and s[19:24, 9:14].mean() > 3 * s.mean()
+    assert I.saliency_term(np.ones((4, 4)), 0, 0, 4, 4) == pytest.approx((1 / 3) ** 0.5) and I.saliency_term(np.ones((4, 4)), 9, 9, 1, 1) == 0
     assert I.pixel_hash(np.zeros((2, 3), np.uint8)) != I.pixel_hash(np.zeros((3, 2), np.uint8))
     assert I.patch_mask(4, 4, 0, 0, 0.5, 0.5).sum() == 4
 
@@ -253,7 +266,7 @@ def test_image_tables(spark):
     assert e[1] == e[5] and len(e[1]) == 16 and e[2] is None and e[3] is None
 
 
-@pytest.mark.parametrize("bad", [{"weights": {"a": 0.5}}, {"candidates": 10}, {"secondary_weight": 0.5}, {"candidates_per_sku": 0}, {"top_k": 51}, {"local_weight": float("nan")}, {"ambiguity_margin": -1}, {"patch_trim": 0.5}])
+@pytest.mark.parametrize("bad", [{"weights": {"a": 0.5}}, {"candidates": 10}, {"secondary_weight": 0.5}, {"candidates_per_sku": 0}, {"top_k": 51}, {"local_weight": float("nan")}, {"ambiguity_margin": -1}, {"patch_trim": 0.5}, {"patch_top_k": 3}, {"patch_aggregation": "max"}, {"high": 1.5}, {"high_gap": 2.5}, {"rank_bias": float("nan")}])
 def test_settings(bad):
     with pytest.raises(ValueError):
         Settings(**bad)

@@ -205,24 +205,40 @@ BOXES = "image_id bigint, source string, x double, y double, width double, heigh
 
 
 def test_proposals(spark):
-    rows = [box("grabcut", 0.2, 0.2, 0.4, 0.5), box("saliency", 0.21, 0.2, 0.4, 0.5), box("contour", 0.7, 0.7, 0.2, 0.2), box("contour", 0, 0, 0.9, 0.9), box("contour", 0.5, 0.5, 0.9, 0.9)]
+    rows = [box("grabcut_foreground", 0.2, 0.2, 0.4, 0.5), box("saliency", 0.21, 0.2, 0.4, 0.5), box("contour", 0.7, 0.7, 0.2, 0.2), box("contour", 0, 0, 0.9, 0.9), box("contour", 0.5, 0.5, 0.9, 0.9)]
     df = spark.createDataFrame(rows, BOXES)
     got = P.suppressed(df).orderBy("place").collect()
-    assert [r["source"] for r in got] == ["grabcut", "contour"]
+    assert [r["source"] for r in got] == ["grabcut_foreground", "contour"]
     assert P.ranked(df).count() == 3
     images = spark.createDataFrame([(1,), (2,)], "image_id bigint")
     assert {r["image_id"]: r["reason"] for r in P.chosen(df, images).collect()} == {1: "foreground_proposal", 2: "center_fallback"}
     assert P.suppressed(df.where("false")).collect() == []
 
 
-def test_attached_parts():
-    b = lambda x, y, w, h: {"x": x, "y": y, "width": w, "height": h, "rank_score": 0.5, "source": "s"}
-    handle, shaft = b(0.3, 0.1, 0.3, 0.3), b(0.4, 0.41, 0.1, 0.4)
-    (one,) = P.merge_parts([handle, shaft])
-    assert (one["x"], one["y"], round(one["height"], 6)) == (0.3, 0.1, 0.71)
-    assert len(P.merge_parts([handle, b(0.7, 0.41, 0.1, 0.4)])) == 2  # beside it
-    assert len(P.merge_parts([handle, b(0.4, 0.15, 0.1, 0.1)])) == 2  # inside it
-    assert len(P.merge_parts([handle, shaft, b(0.4, 0.82, 0.05, 0.1)])) == 2  # one part a body
+def test_attached_parts(spark):
+    handle, shaft = (0.3, 0.1, 0.3, 0.3), (0.4, 0.41, 0.1, 0.4)
+    images = [
+        [handle, shaft],
+        [handle, (0.7, 0.41, 0.1, 0.4)],  # beside it
+        [handle, (0.4, 0.15, 0.1, 0.1)],  # inside it
+        [handle, shaft, (0.4, 0.82, 0.05, 0.1)],  # one part a body
+        [handle, (0.32, 0.41, 0.05, 0.2), shaft, (0.0, 0.0, 0.0, 0.0)],  # the first that fits; the invalid one is gone
+    ]
+    rows = [(i, n, "s" if n else "body", *map(float, b)) for i, boxes in enumerate(images) for n, b in enumerate(boxes)]
+    df = spark.createDataFrame(rows, "image_id bigint, position int, source string, x double, y double, width double, height double")
+    got = {}
+    for r in P.merged(df).orderBy("image_id", "position").collect():
+        got.setdefault(r["image_id"], []).append((r["source"], r["x"], r["y"], round(r["height"], 6)))
+    assert got[0] == [("body", 0.3, 0.1, 0.71)]
+    assert [len(got[i]) for i in range(5)] == [1, 2, 2, 2, 2] and got[4][0] == ("body", 0.3, 0.1, 0.51)
+    assert P.merged(df.where("false")).collect() == []
+
+
+def test_larger_box_replaces_its_fragment(spark):
+    rows = [(1, "s", 0.3, 0.3, 0.2, 0.2, 0.9), (1, "s", 0.25, 0.25, 0.35, 0.35, 0.5), (1, "s", 0.0, 0.0, 1.0, 1.0, 0.4), (1, "t", 0.3, 0.3, 0.2, 0.2, 0.1)]
+    df = spark.createDataFrame(rows, BOXES)
+    got = [(r["source"], r["place"], r["width"]) for r in P.own_distinct(df).orderBy("source", "place").collect()]
+    assert got == [("s", 1, 0.35), ("s", 2, 1.0), ("t", 1, 0.2)]
 
 
 def test_failures(spark):
