@@ -116,8 +116,9 @@ class History:
         nodes, links, most = delivery
         if self.name:
             known = self._known(_values(nodes), most)
-            gone = materialise(nodes.join(known.where("hash IS NOT NULL").select("hash"), "hash", "left_semi").select("id").unionByName(nodes.join(known.where("code IS NOT NULL").select("code"), "code", "left_semi").select("id")), "known")
-            accepted = self._settle(links, links.join(gone, "id", "left_anti"))
+            by = lambda c: nodes.join(known.where(F.col(c).isNotNull()).select(c).hint("shuffle_hash"), c, "left_semi").select("id")
+            gone = materialise(by("hash").unionByName(by("code")), "known")
+            accepted = self._settle(links, links.join(gone.hint("shuffle_hash"), "id", "left_anti"))
             discard(gone)
         else:
             accepted = self._settle(links, links)
@@ -142,17 +143,19 @@ class History:
         In each round the nodes that are the first of all their links are
         accepted and those that have a link in common with them are not; the
         first undecided one is always decided.  Links are aggregated with
-        partial sums and never gathered.
+        partial sums and never gathered.  The joins are hash joins of shuffled
+        sides, whose keys are distinct: a broadcast in each round would go
+        through the driver.
         """
         out = []
         while True:
-            first = links.groupBy("key").agg(F.min("id").alias("first"))
+            first = links.groupBy("key").agg(F.min("id").alias("first")).hint("shuffle_hash")
             seen = links.select("id", "key").join(first, "key").select("id", "first")
             state = seen.groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("ok"))
-            ahead = state.where("ok").select(F.col("id").alias("first"))
+            ahead = state.where("ok").select(F.col("id").alias("first")).hint("shuffle_hash")
             hit = seen.where("first <> id").join(ahead, "first", "left_semi").select("id").distinct().withColumn("hit", F.lit(True))
             kind: Column = F.when(F.col("ok"), "accepted").when(F.col("hit"), "known").otherwise("open").alias("state")
-            after = links.join(state, "id").join(hit, "id", "left").select("id", "hash", "code", "key", "own", kind)
+            after = links.join(state.hint("shuffle_hash"), "id").join(hit.hint("shuffle_hash"), "id", "left").select("id", "hash", "code", "key", "own", kind)
             after = materialise(after, "round")
             out.append(after.where("own AND state = 'accepted'").select("id", "hash", "code"))
             discard(stored)
