@@ -12,7 +12,6 @@ is compacted, with as many buckets as it then needs.
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +31,15 @@ def _marks(values: DataFrame) -> DataFrame:
     return values.selectExpr(f"explode(CASE WHEN hash IS NOT NULL THEN array(xxhash64(hash)) ELSE {bits.pieces('code')} END) AS key", "hash", "code")
 
 
+#: The id of what comes before all records.
+FIRST = -(1 << 63)
+#: SQL of the hash and the code of a record as two values ``v``.
+EACH = "explode(array(struct(hash, CAST(NULL AS bigint) AS code), struct(CAST(NULL AS string) AS hash, code))) AS v"
+
+
 def _values(nodes: DataFrame) -> DataFrame:
     """(hash, code), one of them null: the distinct hashes and codes of ``nodes``."""
-    no_hash, no_code = F.lit(None).cast("string").alias("hash"), F.lit(None).cast("bigint").alias("code")
-    each = F.array(F.struct(F.col("hash"), no_code), F.struct(no_hash, F.col("code")))
-    return nodes.select(F.explode(each).alias("v")).select("v.*").where("hash IS NOT NULL OR code IS NOT NULL").distinct()
+    return nodes.selectExpr(EACH).selectExpr("v.*").where("hash IS NOT NULL OR code IS NOT NULL").distinct()
 
 
 class History:
@@ -46,7 +49,7 @@ class History:
         self.spark, self.rows_per_bucket, self.most_appends, self.popular = spark, rows_per_bucket, appends, popular
         self.folder = scratch_path(spark, "history")
         self.name: str | None = None
-        self.buckets = self.appends = 0
+        self.buckets = self.appends = self.rounds = 0
 
     def _needed(self, rows: int) -> int:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // self.rows_per_bucket))
@@ -79,94 +82,92 @@ class History:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(f"{self.folder}/{name}")
 
-    def _known(self, values: DataFrame, most: int | None) -> DataFrame:
-        """(hash, code), one of them null: which of the values (at most ``most``, if known) the history holds."""
-        marks = _marks(values).repartition(self.buckets, "key")
+    def _matches(self, rows: DataFrame, most: int | None) -> DataFrame:
+        """(hash, code, other) of a delivery (id, hash, code): the hashes and codes that the history holds, and the pairs of close codes in the delivery.
+
+        ``most`` is a bound of the delivery's records, if known.
+        """
+        marks = _marks(_values(rows)).repartition(self.buckets, "key")
+        codes = marks.where("code IS NOT NULL").select("key", "code")
+        other = codes.withColumnRenamed("code", "other")
         old = self.spark.table(self.name).select("key", F.col("hash").alias("old_hash"), F.col("code").alias("old_code"))
         same = F.coalesce(F.col("hash") == F.col("old_hash"), bits.close("code", "old_code"))
+        near = (F.col("code") < F.col("other")) & bits.close("code", "other")
+        known, pairs = ("hash", "code", F.lit(None).cast("bigint").alias("other")), (F.lit(None).cast("string").alias("hash"), "code", "other")
         if most is not None and most <= self.popular:
-            return marks.hint("shuffle_hash").join(old, "key").where(same).select("hash", "code").distinct()
-        # keys that many codes of the delivery have are cut finer, with the history's rows under them
-        many = marks.where("code IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.popular).select("key")
-        seldom = marks.join(many, "key", "left_anti").hint("shuffle_hash").join(old, "key").where(same).select("hash", "code")
-        new, held = marks.where("code IS NOT NULL").join(many, "key", "left_semi"), old.where("old_code IS NOT NULL").join(many, "key", "left_semi")
-        popular = bits.cut(new, "key", "code").join(bits.cut(held, "key", "old_code"), ["key", "fine"]).where(same).select("hash", "code")
-        return seldom.unionByName(popular).distinct()
-
-    def prepare(self, records: DataFrame, record: str, most: int | None = None) -> tuple[DataFrame, DataFrame, int | None]:
-        """What a check needs of a delivery and does not depend on the history, so that it can be made while another is checked.
-
-        ``records`` as in check(); ``most``: a bound of their number, if known.
-        """
-        rows = records.where("hash IS NOT NULL OR code IS NOT NULL").select(F.col(record).alias("id"), "hash", "code")
-        # records equal in both are one node, as only the first of them can be accepted
-        nodes = materialise(rows.groupBy("hash", "code").agg(F.min("id").alias("id")).select("id", "hash", "code"), "nodes")
-        return nodes, materialise(self._links(nodes, most), "links"), most
-
-    def check(self, delivery: tuple[DataFrame, DataFrame, int | None]) -> DataFrame:
-        """(id, hash, code) of the accepted ones of a prepared delivery, whose hashes are appended; they come in the order of their ids.
-
-        A delivery is made of records with an id, ``hash`` and ``code``
-        (bigint), either of which may be null.  A record is not accepted if
-        its hash is in the history or that of an earlier accepted record of
-        the delivery, or its code within 4 bits of such a one's.  Records
-        without both are new, leave no trace and aren't returned.  An empty
-        delivery changes nothing.
-        """
-        nodes, links, most = delivery
-        if self.name:
-            known = self._known(_values(nodes), most)
-            by = lambda c: nodes.join(known.where(F.col(c).isNotNull()).select(c).hint("shuffle_hash"), c, "left_semi").select("id")
-            gone = materialise(by("hash").unionByName(by("code")), "known")
-            accepted = self._settle(links, links.join(gone.hint("shuffle_hash"), "id", "left_anti"))
-            discard(gone)
+            parts = [marks.hint("shuffle_hash").join(old, "key").where(same).select(*known), codes.hint("shuffle_hash").join(other, "key").where(near).select(*pairs)]
         else:
-            accepted = self._settle(links, links)
-        self.add(_values(accepted))
-        discard(nodes)
-        return accepted
-
-    def _links(self, nodes: DataFrame, most: int | None) -> DataFrame:
-        """(id, hash, code, key, own): what may keep a node from being accepted, its hash, its code and its code's pairs with close ones."""
-        codes = nodes.where("code IS NOT NULL").select("code").distinct()
-        left, right = bits.keyed(codes, "code", "a"), bits.keyed(codes, "code", "b")
-        near = bits.pairs(left, right, "a", "b", self.popular, most).where("a < b")
-        pair = F.concat_ws("~", F.col("a").cast("string"), F.col("b").cast("string"))
-        sides = near.select(F.explode(F.array("a", "b")).alias("code"), pair.alias("key"))
-        own = F.filter(F.array(F.concat(F.lit("h"), "hash"), F.concat(F.lit("c"), F.col("code").cast("string"))), lambda k: k.isNotNull())
-        first = nodes.select("id", "hash", "code", F.posexplode(own).alias("n", "key")).select("id", "hash", "code", "key", (F.col("n") == 0).alias("own"))
-        return first.unionByName(nodes.join(sides, "code").select("id", "hash", "code", "key", F.lit(False).alias("own")))
-
-    def _settle(self, stored: DataFrame | None, links: DataFrame) -> DataFrame:
-        """(id, hash, code) of the accepted nodes of ``links``, which is read from ``stored``.
-
-        In each round the nodes that are the first of all their links are
-        accepted and those that have a link in common with them are not; the
-        first undecided one is always decided.  Links are aggregated with
-        partial sums and never gathered.  The joins are hash joins of shuffled
-        sides, whose keys are distinct: a broadcast in each round would go
-        through the driver.
+            # keys that many codes of the delivery have are cut finer, on both sides and in the history
+            many = codes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.popular).select("key")
+            seldom, often = marks.join(many, "key", "left_anti"), codes.join(many, "key", "left_semi")
+            cut, held = bits.cut(often, "key", "code"), bits.cut(old.where("old_code IS NOT NULL").join(many, "key", "left_semi"), "key", "old_code")
+            parts = [
+                seldom.hint("shuffle_hash").join(old, "key").where(same).select(*known),
+                cut.withColumn("hash", F.lit(None).cast("string")).join(held, ["key", "fine"]).where(same).select(*known),
+                seldom.where("code IS NOT NULL").join(other, "key").where(near).select(*pairs),
+                cut.join(cut.withColumnRenamed("code", "other"), ["key", "fine"]).where(near).select(*pairs),
+            ]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out.distinct()
+
+    def check(self, records: DataFrame, record: str, most: int | None = None) -> DataFrame:
+        """(record) of the accepted ones of a delivery, whose hashes are appended; they come in the order of their ids.
+
+        ``records``: the id, ``hash`` and ``code`` (bigint), either of which
+        may be null; at most ``most`` of them, if known.  A record is not
+        accepted if its hash is in the history or that of an earlier accepted
+        record of the delivery, or its code within 4 bits of such a one's.
+        Records without both are new, leave no trace and aren't returned.  An
+        empty delivery changes nothing.
+        """
+        rows = records.where("hash IS NOT NULL OR code IS NOT NULL").select(F.col(record).cast("bigint").alias("id"), "hash", "code")
+        matches = materialise(self._matches(rows, most), "matches")
+        # what links records: a hash, a code, a pair of close codes; what the history holds is linked to a record before all others
+        name = F.coalesce(F.concat(F.lit("h"), "hash"), F.concat(F.lit("c"), F.col("code").cast("string"))).alias("key")
+        own = rows.selectExpr("id", EACH).select("id", "v.*").where("hash IS NOT NULL OR code IS NOT NULL")
+        pair = F.concat_ws("~", F.col("code").cast("string"), F.col("other").cast("string"))
+        sides = matches.where("other IS NOT NULL").select(F.explode(F.array("code", "other")).alias("code"), pair.alias("key"))
+        none = (F.lit(None).cast("string").alias("hash"), F.lit(None).cast("bigint").alias("code"))
+        links = own.select("id", "hash", "code", name)
+        links = links.unionByName(rows.join(sides, "code").select("id", *none, "key")).unionByName(matches.where("other IS NULL").select(F.lit(FIRST).alias("id"), *none, name))
+        accepted = self._settle(links)
+        self.add(accepted.where("hash IS NOT NULL OR code IS NOT NULL").select("hash", "code"))
+        discard(matches)
+        return accepted.select(F.col("id").alias(record)).distinct()
+
+    def _settle(self, links: DataFrame) -> DataFrame:
+        """Links (id, hash, code) of the accepted records of ``links`` (id, hash, code, key).
+
+        A round looks for the first record of each key, and from it for the
+        first one that each record is linked to.  If that is the record
+        itself, it is accepted, and its keys pass to FIRST; if it is FIRST,
+        the record is known and its links go; else it stays open.  The first
+        open record is always decided.  Links are aggregated with partial
+        minima and never gathered, and the sides of the joins have distinct
+        keys; they are shuffled, as a broadcast in each round would go through
+        the driver.
         """
-        out = []
+        out = None
         while True:
             first = links.groupBy("key").agg(F.min("id").alias("first")).hint("shuffle_hash")
-            seen = links.select("id", "key").join(first, "key").select("id", "first")
-            state = seen.groupBy("id").agg(F.min(F.col("first") == F.col("id")).alias("ok"))
-            ahead = state.where("ok").select(F.col("id").alias("first")).hint("shuffle_hash")
-            hit = seen.where("first <> id").join(ahead, "first", "left_semi").select("id").distinct().withColumn("hit", F.lit(True))
-            kind: Column = F.when(F.col("ok"), "accepted").when(F.col("hit"), "known").otherwise("open").alias("state")
-            after = links.join(state.hint("shuffle_hash"), "id").join(hit.hint("shuffle_hash"), "id", "left").select("id", "hash", "code", "key", "own", kind)
-            after = materialise(after, "round")
-            out.append(after.where("own AND state = 'accepted'").select("id", "hash", "code"))
-            discard(stored)
-            # a round's table holds accepted ones, which the result reads
-            stored, links = None, after.where("state = 'open'").drop("state")
-            if not links.limit(1).count():
-                break
-        accepted = out[0]
-        for x in out[1:]:
-            accepted = accepted.unionByName(x)
-        return accepted
+            found = links.where(F.col("id") != FIRST).select("id", "key").join(first, "key").groupBy("id").agg(F.min("first").alias("first"))
+            state: Column = F.when(F.col("id") == FIRST, "held").when(F.col("first") == FIRST, "known").when(F.col("first") == F.col("id"), "accepted").otherwise("open")
+            after = links.join(found.hint("shuffle_hash"), "id", "left").select("id", "hash", "code", "key", state.alias("state")).where("state <> 'known'")
+            self.rounds += 1
+            path = f"{self.folder}/rounds/{self.rounds:08d}"
+            after.write.parquet(path)
+            after = self.spark.read.schema(after.schema).parquet(path)
+            new = after.where("state = 'accepted'").select("id", "hash", "code")
+            out = new if out is None else out.unionByName(new)
+            if not after.where("state = 'open'").limit(1).count():
+                return out
+            links = after.select(F.when(F.col("state") == "accepted", FIRST).otherwise(F.col("id")).alias("id"), "hash", "code", "key")
+
+    def accepted(self) -> DataFrame:
+        """(id) of all records accepted in checks."""
+        return self.spark.read.parquet(f"{self.folder}/rounds/*").where("state = 'accepted'").select("id")
 
     def drop(self) -> None:
         if self.name:
@@ -194,14 +195,8 @@ def duplicates_by_batch(feedback: DataFrame, refs: DataFrame, **options) -> Data
     history.add(_values(refs.select(clean_hash("photo_hash").alias("hash"), F.lit(None).cast("bigint").alias("code"))))
     records = materialise(first_deliveries(feedback), "records")
     batches = sorted(((r[0], r[1]) for r in records.groupBy("batch_no").count().collect()), key=lambda b: (b[0] is not None, b[0]))
-    ready = lambda b: history.prepare(records.where(F.col("batch_no").eqNullSafe(F.lit(b[0]))), "feedback_id", b[1])
-    accepted = None
-    with ThreadPoolExecutor(1) as ahead:  # the next delivery is read while one is checked
-        coming = ahead.submit(ready, batches[0]) if batches else None
-        for following in [*batches[1:], None] if batches else []:
-            delivery, coming = coming.result(), ahead.submit(ready, following) if following else None
-            found = history.check(delivery).select(F.col("id").alias("feedback_id"))
-            accepted = found if accepted is None else accepted.unionByName(found)
+    for number, n in batches:
+        history.check(records.where(F.col("batch_no").eqNullSafe(F.lit(number))), "feedback_id", n)
     history.drop()
     hashed = records.where("hash IS NOT NULL OR code IS NOT NULL").select("feedback_id")
-    return hashed if accepted is None else hashed.join(accepted, "feedback_id", "left_anti")
+    return hashed.join(history.accepted(), hashed["feedback_id"] == F.col("id"), "left_anti") if batches else hashed
