@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,6 +87,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+@contextlib.contextmanager
+def static_plans(spark: SparkSession) -> Iterator[None]:
+    """Plans made once for what is executed within, as adaptive execution plans and reports again after each stage.
+
+    For many executions in a row, each of whose partitions and joins are set
+    by its own code; their plans would fill the driver's memory.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def guard(spark: SparkSession) -> None:
     """Turn off that a union passes on the partitioning of its inputs.
 

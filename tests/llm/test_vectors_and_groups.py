@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("shelfsight.llm")
@@ -255,6 +256,32 @@ def test_batches_against_history(spark, seed):
         assert sorted(got) == sorted(expected)
 
 
+@pytest.mark.parametrize("one_task", [0, 300, history.ONE_TASK])
+def test_a_delivery_costs_few_executions(spark, one_task):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(1, 4), h, d) for i, h, d, _ in photos(3, 160)]
+    chain = [(1000 + i, 2, None, f"{(1 << 3 * i) - 1:016x}") for i in range(1, 7)]  # each within 4 bits of the one before
+    feedback = spark.createDataFrame(rows + chain, "feedback_id bigint, batch_no int, photo_hash string, dhash string")
+    expected = brute_history(set(), [(i, b, clean((i, h, d, None))[1], clean((i, h, d, None))[2]) for i, b, h, d in rows + chain])
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    got = history.duplicates_by_batch(feedback, spark.createDataFrame([], "photo_hash string"), one_task=one_task)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executions = store.executionsCount() - before
+    assert sorted(r[0] for r in got.collect()) == sorted(expected)
+    if one_task == history.ONE_TASK:
+        assert executions <= 8 + 3 * 3  # links, order and append; the start and the list of batches come first
+
+
+@pytest.mark.parametrize("rows_in_a_batch", [1, 3, 100])
+def test_links_in_order(rows_in_a_batch):
+    links = [(history.FIRST, None, None, "hx"), (1, "x", None, "hx"), (1, None, 5, "c5"), (2, None, 5, "c5"), (2, None, None, "5~6"), (3, None, 6, "c6"), (3, None, None, "5~6"), (4, None, 5, "c5"), (5, "y", None, "hy")]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("id", "hash", "code", "key"), x, strict=True)) for x in links[i : i + rows_in_a_batch]], schema=pa.schema([("id", pa.int64()), ("hash", pa.string()), ("code", pa.int64()), ("key", pa.string())])) for i in range(0, len(links), rows_in_a_batch)]
+    assert [(r["id"], r["key"]) for b in history._in_order(batches) for r in b.to_pylist()] == [(2, "c5"), (2, "5~6"), (5, "hy")]
+    assert list(history._in_order([])) == []
+
+
 def test_history_of_nothing(spark):
     feedback = spark.createDataFrame([], "feedback_id bigint, batch_no int, photo_hash string, dhash string")
     table = spark.createDataFrame([], "photo_hash string")
