@@ -10,7 +10,8 @@ number of buckets follows from the rows; after a number of appends the table
 is compacted, with as many buckets as it then needs.
 
 A delivery costs the driver three executions (links, order, append), as each
-one's plans and events stay in its memory for a while.
+one's plans and events stay in its memory for a while; a large one has its
+popular keys looked for first, so that only plans that need it cut keys finer.
 """
 
 from __future__ import annotations
@@ -125,10 +126,22 @@ class History:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(f"{self.folder}/{name}")
 
-    def _matches(self, rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    def _many(self, rows: DataFrame, most: int | None) -> DataFrame | None:
+        """(key) of the keys that more than ``popular`` codes of a delivery have, written; None if there is none, as with at most so many records."""
+        if most is not None and most <= self.popular:
+            return None
+        seen = Observation()
+        keys = _marks(_values(rows).where("code IS NOT NULL")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.popular).select("key")
+        many = materialise(keys.observe(seen, F.count(F.lit(1)).alias("n")), "many")
+        if seen.get["n"]:
+            return many
+        discard(many)
+        return None
+
+    def _matches(self, rows: DataFrame, many: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Of a delivery (id, hash, code): the (hash, code) that the history holds, one of them null, and the close (code, other) of the delivery.
 
-        ``most`` is a bound of the delivery's records, if known.
+        ``many``: the keys to cut finer.
         """
         marks = _marks(_values(rows)).repartition(self.buckets, "key")
         codes = marks.where("code IS NOT NULL").select("key", "code")
@@ -136,12 +149,11 @@ class History:
         old = self.spark.table(self.name).select("key", F.col("hash").alias("old_hash"), F.col("code").alias("old_code"))
         same = F.coalesce(F.col("hash") == F.col("old_hash"), bits.close("code", "old_code"))
         near = (F.col("code") < F.col("other")) & bits.close("code", "other")
-        if most is not None and most <= self.popular:
+        if many is None:
             known = marks.hint("shuffle_hash").join(old, "key").where(same).select("hash", "code")
             pairs = codes.hint("shuffle_hash").join(other, "key").where(near).select("code", "other")
         else:
             # keys that many codes of the delivery have are cut finer, on both sides and in the history
-            many = codes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > self.popular).select("key")
             seldom, often = marks.join(many, "key", "left_anti"), codes.join(many, "key", "left_semi")
             cut, held = bits.cut(often, "key", "code"), bits.cut(old.where("old_code IS NOT NULL").join(many, "key", "left_semi"), "key", "old_code")
             known = seldom.hint("shuffle_hash").join(old, "key").where(same).select("hash", "code")
@@ -150,12 +162,12 @@ class History:
             pairs = pairs.unionByName(cut.join(cut.withColumnRenamed("code", "other"), ["key", "fine"]).where(near).select("code", "other"))
         return known.distinct(), pairs.distinct()
 
-    def _links(self, rows: DataFrame, most: int | None) -> DataFrame:
+    def _links(self, rows: DataFrame, many: DataFrame | None) -> DataFrame:
         """(id, hash, code, key) of what links the records of a delivery: a hash, a code, a pair of close codes.
 
         What the history holds is linked to a record before all others.
         """
-        known, pairs = self._matches(rows, most)
+        known, pairs = self._matches(rows, many)
         name = F.coalesce(F.concat(F.lit("h"), "hash"), F.concat(F.lit("c"), F.col("code").cast("string"))).alias("key")
         own = rows.selectExpr("id", EACH).select("id", "v.*").where("hash IS NOT NULL OR code IS NOT NULL")
         pair = F.concat_ws("~", F.col("code").cast("string"), F.col("other").cast("string"))
@@ -175,11 +187,11 @@ class History:
         empty delivery changes nothing.
         """
         rows = records.where("hash IS NOT NULL OR code IS NOT NULL").select(F.col(record).cast("bigint").alias("id"), "hash", "code")
-        seen = Observation()
-        links = materialise(self._links(rows, most).observe(seen, F.count(F.lit(1)).alias("n")), "links")
+        many, seen = self._many(rows, most), Observation()
+        links = materialise(self._links(rows, many).observe(seen, F.count(F.lit(1)).alias("n")), "links")
         accepted = self._settle(links, seen.get["n"])
         self.add(accepted.where("hash IS NOT NULL OR code IS NOT NULL").select("hash", "code"))
-        discard(links)
+        discard(links, many)
         return accepted.select(F.col("id").alias(record)).distinct()
 
     def _settle(self, links: DataFrame, n: int) -> DataFrame:
